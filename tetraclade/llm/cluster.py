@@ -80,3 +80,13 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = now
     return e.select(b.alias("node"), a.alias("root")).union(e.select(a, a).distinct())
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet below ``spark.checkpoint.dir`` and read again."""
+    import uuid
+
+    _folder(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
