@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, minhash, packing, quality, suffix
+from . import bpe, fingerprint, html, langid, license, minhash, packing, quality, suffix, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +17,26 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(_documents(spark, sf_dir))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_documents(spark, sf_dir))
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_content(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_documents(spark, sf_dir))
 
@@ -29,6 +45,10 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_spans(_documents(spark, sf_dir))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(_documents(spark, sf_dir))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_documents(spark, sf_dir))
 
@@ -40,7 +60,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op3_minhash, op7_language, op8_repeats, op10_quality, pipeline)
+    f.__name__: f
+    for f in (op1_packing, op2_licenses, op3_minhash, op4_bpe, op5_html, op6_toxicity, op7_language, op8_repeats, op9_fingerprints, op10_quality, pipeline)
 }
 
 ORACLES: dict[str, str] = {}

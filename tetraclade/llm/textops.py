@@ -20,6 +20,8 @@ CHUNK_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Everything that is not an ASCII letter or digit, or part of a non-ASCII character.
+PUNCTUATION = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
 
 _BASE = 0x9E3779B97F4A7C15
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -71,18 +73,18 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 
 class Words:
-    """Whitespace-separated words of some rows of a flat text column.
+    """Words of some rows of a flat text column: what stands between ``breaks``, by default ASCII white space.
 
     ``start``/``end`` are byte positions in ``data``, ``doc`` the row of each word,
     ``first`` the index of each row's first word (one more entry than rows).
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE):
         base = int(offsets[0])
         self.data = data = data[base : int(offsets[-1])]
         self.offsets = offsets = offsets - base
         n = len(data)
-        word = ~_SPACE[data]
+        word = ~breaks[data]
         head = np.zeros(n + 1, bool)
         tail = np.zeros(n + 1, bool)
         if n:
