@@ -175,7 +175,7 @@ def pairwise_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("branch_distance", _with(_PARTIAL, _taxa("ranks")) + """, p AS (SELECT ranks.*, gid FROM ranks JOIN taxa ON ranks.taxon = taxa.taxon WHERE n >= 2),
 t AS (SELECT DISTINCT grp, tree_id FROM p)
-SELECT CAST(t.tree_id AS BIGINT) AS tree_id, t.grp AS "group", 1 AS multiplicity, CAST(least(x.r, x.n - 1) + least(y.r, x.n - 1) - 2 * (least(x.r, y.r) - 1) AS DOUBLE) AS distance
+SELECT CAST(t.tree_id AS BIGINT) AS tree_id, t.grp AS "group", 1 AS multiplicity, CAST(CASE WHEN x.r IS NOT NULL AND y.r IS NOT NULL THEN least(x.r, x.n - 1) + least(y.r, x.n - 1) - 2 * (least(x.r, y.r) - 1) END AS DOUBLE) AS distance
 FROM t LEFT JOIN p x ON x.tree_id = t.tree_id AND x.gid = 0 LEFT JOIN p y ON y.tree_id = t.tree_id AND y.gid = 3""")
 def branch_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     ens = derived.ensemble(spark, sf_dir, "partial")
