@@ -3,7 +3,8 @@
 A histogram of the lengths of all documents is gathered; a dynamic programme over
 it chooses at most ``BUCKETS`` bucket boundaries so that the padding, the sum of
 (boundary - length) over all documents, is least. Inside a bucket documents are
-numbered by (length bin, shard, identifier) and cut into batches of
+numbered by (length bin, shard, identifier), the shard being the identifier (or its
+hash, if it isn't an integer) modulo ``SHARDS``, and cut into batches of
 ``max(1, TOKEN_BUDGET // boundary)`` rows; the last batch of a bucket may be short.
 
 The length of a document is its number of words without ASCII white space.
@@ -85,7 +86,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     spark = docs.sparkSession
     n = docs.select(F.col(f"`{id_col}`").alias("doc_id"), length(F.col(f"`{text_col}`")).alias("n_tokens"))
     # identifiers and lengths only; the texts are scanned once
-    n = checkpoint(n.withColumn("edge", bin_of(F.col("n_tokens"))).withColumn("shard", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)), F.lit(0)).cast("int")))
+    whole = n.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    shard = F.pmod(F.col("doc_id") if whole else F.xxhash64("doc_id"), F.lit(SHARDS))
+    n = checkpoint(n.withColumn("edge", bin_of(F.col("n_tokens"))).withColumn("shard", F.coalesce(shard, F.lit(0)).cast("int")))
     cells = n.groupBy("edge", "shard").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).toPandas().sort_values(["edge", "shard"])
     by = cells.groupby("edge", sort=True)
     edges = by.n.sum()

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, fingerprint, html, langid, license, minhash, packing, quality, suffix, toxicity
+from .oracles import ORACLES
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,9 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_packing, op2_licenses, op3_minhash, op4_bpe, op5_html, op6_toxicity, op7_language, op8_repeats, op9_fingerprints, op10_quality, pipeline)
 }
 
-ORACLES: dict[str, str] = {}
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator, over its whole table."""
     return dict(QUERIES)
