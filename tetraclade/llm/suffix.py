@@ -12,12 +12,12 @@ repeated if the same words stand earlier: in a document with a smaller (identifi
 text hash), or earlier in the same document. Every word inside a repeated passage is
 reported, the first occurrence never is. The steps, all sharded:
 
-1. Anchors: positions whose hash of ``GRAM`` words is the least of ``WINDOW``
-   neighbouring ones. Copies of a passage of ``GRAM + WINDOW - 1 <= LENGTH`` words
-   hold a common anchor, so nothing is lost. Only (hash, document, position) moves.
+1. Anchors: of the ``WINDOW`` hashes of ``GRAM`` words inside a passage of ``LENGTH``
+   words the least is its anchor. Copies of a passage have their anchors at the same
+   place, so nothing is lost. Only (hash, document, position) moves.
 2. Anchors whose hash occurs once are dropped in a sorted stream. Documents that
-   keep some are read again, and cut into pieces: the ``LENGTH`` words to either
-   side of each such anchor.
+   keep some are read again, and cut into pieces: the passages of each such anchor,
+   which follow each other. Every passage is in exactly one piece.
 3. Pieces meet by anchor hash. Equal pieces follow each other in the sorted stream
    and only the first is held; each shard's pieces go through the suffix array, and
    neighbours with a common prefix of ``LENGTH`` words are occurrences of one passage.
@@ -181,38 +181,35 @@ def common_prefix(text: np.ndarray, x: np.ndarray, y: np.ndarray, most: int) ->
     return out
 
 
-def _slide(v: np.ndarray, least: np.ufunc) -> np.ndarray:
-    """Minimum (or maximum) of each position and the WINDOW - 1 after it."""
-    m, span = v.copy(), 1
+def _least(v: np.ndarray) -> np.ndarray:
+    """Position of the (leftmost) least value among each position and the WINDOW - 1 after it."""
+    m, at, span = v.copy(), np.arange(len(v)), 1
     while span < WINDOW:
         k = min(span, WINDOW - span)
         if k < len(m):
-            m[: len(m) - k] = least(m[: len(m) - k], m[k:].copy())
+            better = m[k:] < m[:-k]
+            m[:-k] = np.where(better, m[k:], m[:-k])
+            at[:-k] = np.where(better, at[k:], at[:-k])
         span += k
-    return m
+    return at
 
 
-def _anchor_positions(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word positions of anchors and their hashes; ``first``: where each row's words begin."""
+def _anchor_positions(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word positions of anchors, their hashes, and the first and last passage each stands for.
+
+    ``first``: where each row's words begin. Every passage of LENGTH words belongs to
+    exactly one anchor, the least hash inside it.
+    """
     g = ngrams(h, GRAM)
-    if not len(g):
-        return np.zeros(0, np.int64), g
-    count = np.diff(first)
-    row = np.repeat(np.arange(len(count)), count)
-    inside = row[: len(g)] == row[GRAM - 1 :]  # the words of one row only
-    row = row[: len(g)]
-    v = np.where(inside, g, np.uint64(0xFFFFFFFFFFFFFFFF))
-    low = _slide(v, np.minimum)  # least value of the window that starts at each position
-    whole = np.zeros(len(v), bool)  # windows of WINDOW positions inside one row
-    k = len(v) - WINDOW + 1
-    if k > 0:
-        whole[:k] = (row[:k] == row[WINDOW - 1 :]) & inside[:k] & inside[WINDOW - 1 :]
-    low[~whole] = 0
-    # an anchor is the least of some window that holds it; equal minima all count, so copies agree on every one
-    most = _slide(low[::-1], np.maximum)[::-1]
-    hit = inside & (most == v) & (v > 0)
-    at = np.flatnonzero(hit)
-    return at, g[at]
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    start = np.flatnonzero(row[: max(0, len(row) - LENGTH + 1)] == row[LENGTH - 1 :]) if len(row) >= LENGTH else np.zeros(0, np.int64)
+    if not len(start):
+        return start, g[:0], start, start
+    owner = _least(g)[start]
+    new = np.concatenate([[True], owner[1:] != owner[:-1]])
+    head = np.flatnonzero(new)
+    at = owner[head]
+    return at, g[at], start[head], start[np.append(head[1:], len(start)) - 1]
 
 
 _ANCHORS = [T.StructField("gram", T.ArrayType(T.LongType())), T.StructField("pos", T.ArrayType(T.IntegerType()))]
@@ -224,7 +221,7 @@ def _anchors(column: pa.Array) -> list:
     total = 0
     for a, b in chunks(offsets):
         w = Words(data, offsets[a : b + 1])
-        p, g = _anchor_positions(w.hashes(), w.first)
+        p, g, _, _ = _anchor_positions(w.hashes(), w.first)
         row = np.searchsorted(w.first, p, "right") - 1
         grams.append(g)
         at.append(p - w.first[row])
@@ -248,13 +245,15 @@ def _twice(batches):
 
 
 def _cut(batches):
-    """Pieces around the anchors of each document: LENGTH word hashes to either side."""
+    """Pieces around the anchors of each document: the word hashes of the passages each stands for."""
     for batch in batches:
         t = pa.Table.from_batches([batch])
         data, offsets = flat(t["text"])
         for a, b in chunks(offsets):
             w = Words(data, offsets[a : b + 1])
-            h = np.maximum((w.hashes() >> np.uint64(32)).astype(np.uint32), 1)
+            full = w.hashes()
+            anchors, _, low, high = _anchor_positions(full, w.first)
+            h = np.maximum((full >> np.uint64(32)).astype(np.uint32), 1)
             part = t.slice(a, b - a).combine_chunks()
             lists = part["marks"].combine_chunks()
             n = np.diff(lists.offsets.to_numpy())
@@ -262,8 +261,8 @@ def _cut(batches):
             inner = lists.flatten()
             gram, pos = inner.field(0), inner.field(1).to_numpy().astype(np.int64)
             centre = w.first[row] + pos
-            lo = np.maximum(w.first[row], centre - LENGTH + GRAM)
-            hi = np.minimum(w.first[row + 1], centre + LENGTH)
+            which = np.searchsorted(anchors, centre)
+            lo, hi = low[which], high[which] + LENGTH
             size = hi - lo
             cut = np.concatenate([[0], np.cumsum(size)])
             words = h[np.repeat(lo - cut[:-1], size) + np.arange(cut[-1])]
