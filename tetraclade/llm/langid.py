@@ -116,16 +116,18 @@ class Model:
         code[letters] = np.arange(_FIRST, self.width)
         code[1] = _GAP
         self.code = code[fold]
-        tables, self.root, self.log_n, base = [], [], [], 0
+        tables, self.start, self.log_n, base = [], [], [], 0
         for c in folded:
             t = _automaton(code[c].tolist(), self.width)
-            root = base * self.width
+            # one more state, for the start and for symbols that the reference lacks: any symbol begins a phrase there
+            t = np.concatenate([t, np.full((1, self.width), -1, np.int32)])
+            start = (base + len(t) - 1) * self.width
             known = t >= 0
             t = np.where(known, (t + base) * self.width, 0).astype(np.int32)
-            again = np.where(known[0], t[0], root).astype(np.int32) | _MISS
+            again = np.where(known[0], t[0], start).astype(np.int32) | _MISS
             t = np.where(known, t, again[None, :])
             tables.append(t.ravel())
-            self.root.append(root)
+            self.start.append(start)
             self.log_n.append(np.log2(max(2, len(c))))
             base += len(known)
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
@@ -157,7 +159,7 @@ class Model:
         if not len(rows):
             return out
         active = np.searchsorted(-size, -np.arange(BLOCK), "left")  # blocks longer than each step
-        state = np.repeat(np.array(self.root, np.int32)[:, None], len(rows), 1)
+        state = np.repeat(np.array(self.start, np.int32)[:, None], len(rows), 1)
         misses = np.zeros(state.shape, np.int32)
         padded = np.append(symbols, np.zeros(BLOCK, np.uint8))
         for i in range(int(size[0])):
@@ -166,7 +168,6 @@ class Model:
             v = self.table[at]
             misses[:, :a] -= v >> 31
             state[:, :a] = v & 0x7FFFFFFF
-        misses += 1
         for j in range(langs):
             out[j] = np.bincount(rows, misses[j], len(n))
         return out

@@ -130,7 +130,8 @@ class Index:
             step = np.arange(width, dtype=np.int16)
             s = np.maximum.accumulate(s + step, axis=1) - step  # document words left out
             score[i] = np.where(ok, np.maximum(s, 0), 0)
-        best = score.transpose(1, 0, 2).reshape(n, -1).argmax(1)
+        flat_score = score.transpose(1, 0, 2).reshape(n, -1)
+        best = flat_score.shape[1] - 1 - flat_score[:, ::-1].argmax(1)  # of equal scores the longest alignment
         i, b = best // width, best % width
         r = np.arange(n)
         end = left + i - 1 + b + 1

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .cluster import checkpoint, components, runs
-from .textops import Words, chunks, flat, map_text, mix64, ngrams
+from .textops import Words, chunks, flat, fresh, map_text, mix64, ngrams
 
 HASHES = 128
 BANDS = 32
@@ -200,10 +200,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group, columns unchanged: the one with the least identifier."""
+    i, k = fresh(docs.columns, "__id", "__h")
     g = checkpoint(groups(docs, id_col, text_col).select("id", "h", F.col("sig").isNotNull().alias("shingled"), (F.struct("id", "h") != F.col("root")).alias("drop")))
-    gone = g.where("drop").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct()
-    repeated = g.where("shingled and not drop").groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).count().where("count > 1").drop("count")
-    key = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__h"))
+    gone = g.where("drop").select(F.col("id").alias(i), F.col("h").alias(k)).distinct()
+    repeated = g.where("shingled and not drop").groupBy(F.col("id").alias(i), F.col("h").alias(k)).count().where("count > 1").drop("count")
+    key = F.col(f"`{id_col}`").eqNullSafe(F.col(i)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(k))
     kept = docs.join(gone, key, "left_anti")
     if repeated.isEmpty():
         return kept

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .cluster import checkpoint, runs
-from .textops import Words, chunks, flat, map_text, ngrams
+from .textops import Words, chunks, flat, fresh, map_text, ngrams
 
 LENGTH = 50
 GRAM = 10
@@ -403,9 +403,10 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = _spans(docs, id_col, text_col)
     names = docs.columns
     count_at = names.index(count_col) if count_col in names else None
-    wide = docs.withColumn("__h", F.xxhash64(F.col(f"`{text_col}`")))
-    s = spans.select(F.col("node.id").alias("__id"), F.col("node.h").alias("__k"), F.transform("spans", lambda x: F.array(x["a"], x["b"])).alias("__spans"))
-    wide = wide.join(s, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__k")), "left").drop("__id", "__k", "__h")
+    i, k, own, cuts = fresh(names, "__id", "__k", "__h", "__spans")
+    wide = docs.withColumn(own, F.xxhash64(F.col(f"`{text_col}`")))
+    s = spans.select(F.col("node.id").alias(i), F.col("node.h").alias(k), F.transform("spans", lambda x: F.array(x["a"], x["b"])).alias(cuts))
+    wide = wide.join(s, F.col(f"`{id_col}`").eqNullSafe(F.col(i)) & (F.col(own) == F.col(k)), "left").drop(i, k, own)
     at = names.index(text_col)
 
     def run(batches):

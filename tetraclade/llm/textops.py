@@ -133,6 +133,17 @@ def ngrams(words: np.ndarray, n: int, base: int = 0xD6E8FEB86659FD93) -> np.ndar
     return mix64((s[n:] - s[:-n]) * q[:m])
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each made different from all of ``columns`` whatever the case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def map_text(df: DataFrame, keep: list[str], text: str, compute: Callable, fields: list[T.StructField]) -> DataFrame:
     """``keep`` columns of ``df`` plus what ``compute(text_column)`` returns for them.
 
@@ -143,16 +154,17 @@ def map_text(df: DataFrame, keep: list[str], text: str, compute: Callable, field
     new = {f.name for f in fields}
     keep = [c for c in keep if c not in new]
     schema = T.StructType([df.schema[c] for c in keep] + list(fields))
-    types = _arrow_types(fields)
+    types, names = _arrow_types(fields), schema.names
+    (own,) = fresh(keep, "__text")
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 made = compute(batch.column(len(keep)))
                 made = [a if isinstance(a, pa.Array) else pa.array(a, type=t) for a, t in zip(made, types)]
-                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + made, names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + made, names=names)
 
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(own)).mapInArrow(run, schema)
 
 
 def filter_text(df: DataFrame, text: str, predicate: Callable) -> DataFrame:
