@@ -49,8 +49,14 @@ def decompress(data: bytes, source: str = "input") -> str:
                 import zstandard
             except ImportError as e:
                 raise ImportError(f"{source} is zstd-compressed; install zstandard to read it") from e
-            with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data)) as r:
-                data = r.read()
+            parts = []
+            while data:
+                frame = zstandard.ZstdDecompressor().decompressobj()
+                parts.append(frame.decompress(data))
+                if not frame.eof:
+                    raise ValueError("truncated")
+                data = frame.unused_data
+            data = b"".join(parts)
     except ImportError:
         raise
     except Exception as e:

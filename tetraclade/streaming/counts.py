@@ -13,21 +13,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.quartets import Quartets
 from ..operators import kernel
 from ..sources import newick
 
 
-def tree_topologies(trees: DataFrame, quartets: Quartets, strategy: str = "multifurcation", missing_length: float = 1.0) -> DataFrame:
-    """``(group, qi, topology, steiner)``: one row for each tree and quartet it holds; narrow, stream or batch."""
+def tree_topologies(trees: DataFrame, quartets: Quartets, keep: Sequence[str] = ("group",), strategy: str = "multifurcation", missing_length: float = 1.0) -> DataFrame:
+    """``keep`` and ``(qi, topology, steiner)``: one row for each tree and quartet it holds; narrow, stream or batch."""
     number = {t: i for i, t in enumerate(quartets.taxa)}
+    new = [T.StructField("qi", T.LongType()), T.StructField("topology", T.IntegerType()), T.StructField("steiner", T.DoubleType())]
+    schema = T.StructType([*[trees.schema[c] for c in keep], *new])
 
     def run(batches):
         qi = np.arange(quartets.count)
         q = quartets.at(qi + quartets.offset)
         for batch in batches:
-            for group, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for row, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 t = newick.parse(text, strategy, missing_length)
                 slots = np.full(len(number), -1, np.int32)
                 for leaf, name in enumerate(t.names):
@@ -36,11 +39,12 @@ def tree_topologies(trees: DataFrame, quartets: Quartets, strategy: str = "multi
                 packed = kernel.Packed(slots, t.gap, t.depth, t.poly, t.rd, [(1, t.rd)])
                 counts, total, *_ = kernel.count([(0, packed)], q, 1, True)
                 at, _, k = np.nonzero(counts)
+                same = pa.array(np.full(len(at), row))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([group] * len(at), pa.string()), pa.array(qi[at]), pa.array(k.astype(np.int32)), pa.array(total[at, 0, k])], names=["group", "qi", "topology", "steiner"]
+                    [*[c.take(same) for c in batch.columns[:-1]], pa.array(qi[at]), pa.array(k.astype(np.int32)), pa.array(total[at, 0, k])], names=schema.names
                 )
 
-    return trees.select("group", "newick").mapInArrow(run, "group string, qi bigint, topology int, steiner double")
+    return trees.select(*keep, "newick").mapInArrow(run, schema)
 
 
 def streaming_counts(trees: DataFrame, quartets: Quartets, window: Sequence[str] | None = None, time_col: str = "ts", lateness: str = "10 minutes", **options: object) -> DataFrame:
@@ -53,11 +57,5 @@ def streaming_counts(trees: DataFrame, quartets: Quartets, window: Sequence[str]
     keys = ["group", "qi", "topology"]
     if window is None:
         return tree_topologies(trees, quartets, **options).groupBy(*keys).agg(*measures)
-    # the time travels inside the group label, so that the narrow operator needs no other column
-    marked = trees.withWatermark(time_col, lateness)
-    w = F.window(time_col, *window)
-    tagged = marked.select(w.alias("window"), F.to_json(F.struct(F.col("group"), F.col(time_col).cast("timestamp").alias("t"))).alias("group"), "newick")
-    rows = tree_topologies(tagged, quartets, **options)
-    x = F.from_json("group", "group string, t timestamp")
-    rows = rows.select(x["group"].alias("group"), x["t"].alias("t"), "qi", "topology", "steiner").withWatermark("t", lateness)
-    return rows.groupBy(F.window("t", *window).alias("window"), *keys).agg(*measures)
+    rows = tree_topologies(trees, quartets, ("group", time_col), **options).withWatermark(time_col, lateness)
+    return rows.groupBy(F.window(time_col, *window).alias("window"), *keys).agg(*measures)
