@@ -76,7 +76,7 @@ def star(spark: SparkSession, sf_dir: str, zero: bool = False) -> DataFrame:
 def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ladders in which the first nations by name have two copies, ranked apart."""
     r = ranked(spark, sf_dir)
-    names = sorted(x[0] for x in tables(spark, sf_dir)["nation"].select(F.regexp_replace("n_name", " ", "_")).collect())
+    names = sorted(x[0] for x in r.select("taxon").distinct().collect())
     few = r.where(F.col("taxon").isin(names[:3]) | (F.col("r") <= 6)).select("tree_id", "grp", "taxon", "r")
     two = few.select("tree_id", "grp", F.explode(F.array(*[F.struct(F.concat("taxon", F.lit(f"_{i}")).alias("leaf"), (F.col("r") * 7 * (i + 1) % 31).alias("k")) for i in range(2)])).alias("x")).select("tree_id", "grp", "x.*")
     t = two.groupBy("tree_id", F.col("grp").alias("group")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "leaf"))), lambda x: x["leaf"]).alias("x"))

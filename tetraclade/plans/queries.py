@@ -305,7 +305,7 @@ def topology_qed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mul(spark: SparkSession, sf_dir: str) -> tuple[Ensemble, fq.Quartets]:
     source = derived.copies(spark, sf_dir)
-    names = [r[0] for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.regexp_replace("n_name", " ", "_")).collect()]
+    names = [r[0] for r in derived.ranked(spark, sf_dir).select("taxon").distinct().collect()]
     mapping = {f"{g}_{i}": g for g in sorted(names)[:2] for i in range(2)}
     ens = Ensemble(spark, source, taxon_map=mapping)
     return ens, ens.quartets(None, 0, 300)
