@@ -12,7 +12,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,25 +89,38 @@ class Ensemble:
             if twice:
                 raise ValueError(f"tree {twice[0]} repeats a leaf name; a taxon_map is needed for copies")
 
+    @cached_property
+    def _labels(self) -> list:
+        """Groups (n null), and names with the most copies that a tree has; one job, its rows bounded by taxa and groups.
+
+        Copies are counted inside each tree, so only (name, number) pairs move.
+        """
+        groups = self.trees.select(F.col("group").alias("label"), F.lit(None).cast("int").alias("n")).distinct()
+        if self.taxon_map:
+            times = F.transform(F.array_distinct("names"), lambda x: F.struct(x.alias("label"), F.size(F.filter("names", lambda y: y == x)).alias("n")))
+        else:
+            times = F.transform("names", lambda x: F.struct(x.alias("label"), F.lit(1).alias("n")))
+        names = self.trees.select(F.explode(times).alias("x")).select("x.*").groupBy("label").agg(F.max("n").alias("n"))
+        return groups.union(names).collect()
+
     @cached_property
     def groups(self) -> list[str]:
         """Group labels in order."""
-        return [r[0] for r in self.trees.select("group").distinct().orderBy("group").collect()]
+        return sorted(r["label"] for r in self._labels if r["n"] is None)
 
     @cached_property
     def _copies(self) -> list:
-        per_tree = self.trees.select("tree_id", F.explode("names").alias("name")).groupBy("tree_id", "name").count()
-        return per_tree.groupBy("name").agg(F.max("count").alias("n")).orderBy("name").collect()
+        return sorted((r["label"], r["n"]) for r in self._labels if r["n"] is not None)
 
     @cached_property
     def paralogs(self) -> dict[str, int]:
         """Genomes of several copies and the number of their slots."""
-        return {r["name"]: r["n"] for r in self._copies if r["n"] > 1}
+        return {name: n for name, n in self._copies if n > 1}
 
     @cached_property
     def taxa(self) -> list[str]:
         """Names by global id: single ones in order, then the copy slots of each genome."""
-        single = [r["name"] for r in self._copies if r["n"] == 1]
+        single = [name for name, n in self._copies if n == 1]
         return single + [f"{g}_copy{i}" for g, n in self.paralogs.items() for i in range(n)]
 
     def taxa_table(self) -> DataFrame:

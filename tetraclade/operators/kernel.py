@@ -26,6 +26,7 @@ class Packed:
         self.poly = poly if poly.any() else None
         n = len(slots)
         self.dense = n <= DENSE
+        self.useful = int((slots >= 0).sum()) >= 4
         if self.dense:
             here = np.flatnonzero(slots >= 0)
             order = here[np.argsort(slots[here])]
@@ -47,6 +48,8 @@ class Packed:
                         table[to, k[i]] = low[slots[to] - 1]
             self.table = table.ravel()
             self.n = n
+            # depth of each pair's common ancestor; not a number where a taxon is absent
+            self.pair_rd = self.spread(rd)
         else:
             levels = [gap]
             step = 1
@@ -59,6 +62,10 @@ class Packed:
                 self.levels[k, : len(row)] = row
             self.depth = depth
 
+    def spread(self, rd: np.ndarray) -> np.ndarray:
+        """Root distances of the common ancestors of all pairs (dense trees)."""
+        return np.where(self.table >= 0, rd[self.table], np.nan)
+
     def lca(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Common ancestors of present taxa (gids)."""
         if self.dense:
@@ -70,43 +77,77 @@ class Packed:
         return np.where(self.depth[b] < self.depth[a], b, a)
 
 
+_PAIRS = ((0, 1), (2, 3), (0, 2), (1, 3), (0, 3), (1, 2))
+
+
 def count(trees: list[tuple[int, Packed]], q: np.ndarray, n_groups: int, steiner: bool) -> list[np.ndarray]:
     """Counts (quartets, groups, 4) and, with ``steiner``, sum, least, greatest and sum of squares.
 
     Topology: of the pair sums of common-ancestor depths the largest wins, ties go to
     the lowest number; 3 only if an inserted node is involved and all three are equal.
+    Comparisons with an absent taxon's not-a-number are false, so such a quartet wins
+    nothing and is left out of the number present.
     """
     n = len(q)
+    q = np.ascontiguousarray(q.T)
     counts = np.zeros((n_groups, 4, n), np.int64)
     stats = [np.zeros((n_groups, 4, n)), np.full((n_groups, 4, n), np.inf), np.full((n_groups, 4, n), -np.inf), np.zeros((n_groups, 4, n))] if steiner else []
+    size, flat = None, []
+    column = np.arange(n)
     for group, t in trees:
-        leaf = t.leaf[q]
-        here = np.flatnonzero((leaf >= 0).all(1))
-        if not len(here):
+        if not t.useful:
             continue
-        a, b, c, d = (q[here, k] for k in range(4))
-        pairs = [t.lca(a, b), t.lca(c, d), t.lca(a, c), t.lca(b, d), t.lca(a, d), t.lca(b, c)]
-        r = [t.rd[p] for p in pairs]
+        if t.dense:
+            if size != t.n:
+                size, flat = t.n, [q[x] * t.n + q[y] for x, y in _PAIRS]
+            r = [t.pair_rd[f] for f in flat]
+        else:
+            leaf = t.leaf[q]
+            absent = (leaf < 0).any(0)
+            safe = np.where(absent, q[:, :1] * 0 + np.flatnonzero(t.leaf >= 0)[:4, None], q) if absent.any() else q
+            anc = [t.lca(safe[x], safe[y]) for x, y in _PAIRS]
+            r = [np.where(absent, np.nan, t.rd[v]) for v in anc]
         r0, r1, r2 = r[0] + r[1], r[2] + r[3], r[4] + r[5]
-        topo = np.where(r1 > r0, 1, 0)
-        topo = np.where(r2 > np.maximum(r0, r1), 2, topo)
+        two = r2 > np.maximum(r0, r1)
+        one = (r1 > r0) & ~two
+        here = r0 == r0
+        none = None
         if t.poly is not None:
-            inserted = t.poly[pairs[0]]
-            for p in pairs[1:]:
-                inserted = inserted | t.poly[p]
-            topo = np.where(inserted & (r0 == r1) & (r1 == r2), 3, topo)
-        counts[group, topo, here] += t.multiplicity
+            tie = np.flatnonzero((r0 == r1) & (r1 == r2))
+            if len(tie):
+                inserted = np.zeros(len(tie), bool)
+                for k in range(6):
+                    inserted |= t.poly[t.table[flat[k][tie]] if t.dense else anc[k][tie]]
+                none = tie[inserted]
+        m = t.multiplicity
+        cell = counts[group]
+        cell[1] += one * m
+        cell[2] += two * m
+        cell[0] += (here & ~one & ~two) * m
+        if none is not None:
+            cell[0][none] -= m
+            cell[3][none] += m
         if steiner:
-            total, least, most, square = (s[group] for s in stats)
+            at = np.flatnonzero(here)
+            topo = one.astype(np.int64) + 2 * two
+            if none is not None:
+                topo[none] = 3
+            where = (topo * n + column)[at]
+            total, least, most, square = (x[group].reshape(-1) for x in stats)
+            leaves = t.leaf[q[:, at]]
             for m, rd in t.variants:
-                v = [rd[p] for p in pairs]
+                if t.dense:
+                    pair = t.pair_rd if rd is t.rd else t.spread(rd)
+                    v = [pair[f[at]] for f in flat]
+                else:
+                    v = [rd[x[at]] for x in anc]
                 s0, s1, s2 = v[0] + v[1], v[2] + v[3], v[4] + v[5]
-                won = np.where(topo == 1, s1, np.where(topo == 2, s2, s0))
-                s = rd[leaf[here]].sum(1) - (won + s0 + s1 + s2) * 0.5
-                total[topo, here] += s * m
-                square[topo, here] += s * s * m
-                least[topo, here] = np.minimum(least[topo, here], s)
-                most[topo, here] = np.maximum(most[topo, here], s)
+                won = np.where(one[at], s1, np.where(two[at], s2, s0))
+                s = rd[leaves].sum(0) - (won + s0 + s1 + s2) * 0.5
+                total[where] += s * m
+                square[where] += s * s * m
+                least[where] = np.minimum(least[where], s)
+                most[where] = np.maximum(most[where], s)
     return [np.moveaxis(x, 2, 0) for x in (counts, *stats)]
 
 
@@ -115,6 +156,7 @@ def load(payload: bytes) -> list[tuple[int, Packed]]:
     out = []
     with pa.ipc.open_stream(payload) as r:
         for row in r.read_all().to_pylist():
-            variants = [(v["multiplicity"], np.array(v["rd"])) for v in row["variants"]]
-            out.append((row["group_idx"], Packed(np.array(row["slots"], np.int32), np.array(row["gap"], np.int32), np.array(row["depth"], np.int32), np.array(row["poly"], bool), np.array(row["rd"]), variants)))
+            rd = np.array(row["rd"])
+            variants = [(v["multiplicity"], x if len(row["variants"]) > 1 and not np.array_equal(x, rd) else rd) for v in row["variants"] for x in [np.array(v["rd"])]]
+            out.append((row["group_idx"], Packed(np.array(row["slots"], np.int32), np.array(row["gap"], np.int32), np.array(row["depth"], np.int32), np.array(row["poly"], bool), rd, variants)))
     return out
