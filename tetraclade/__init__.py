@@ -1,0 +1,14 @@
+"""Quartet analytics for ensembles of phylogenetic trees on Apache Spark."""
+
+from .functions.quartets import Quartets
+from .operators.consensus import ConsensusGraph
+from .operators.ensemble import Ensemble
+from .operators.paralog import OptimizationResult
+from .plans.planner import available_strategies, quiet, use_strategy
+from .sources.newick import format_newick, parse, validate_newick
+from .sources.readers import NewickFile, normalize_input, read_trees
+
+__all__ = [
+    "ConsensusGraph", "Ensemble", "NewickFile", "OptimizationResult", "Quartets", "available_strategies", "format_newick",
+    "normalize_input", "parse", "quiet", "read_trees", "use_strategy", "validate_newick",
+]

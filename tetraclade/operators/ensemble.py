@@ -210,6 +210,22 @@ class Ensemble:
         """A window of the sequence over this namespace."""
         return Quartets(self.taxa, *args, **kwargs)
 
+    def random_quartets(self, count: int, seed: object = None) -> Quartets:
+        """Random quartets of this namespace."""
+        return Quartets.random(self.taxa, count, seed)
+
+    def qed(self, topology: DataFrame, group_pairs: Sequence | None = None) -> DataFrame:
+        """See :func:`tetraclade.operators.qed.qed`."""
+        from .qed import qed
+
+        return qed(topology, self.groups, group_pairs)
+
+    def resolve_paralogs(self, quartets: Quartets, max_iter: int = 100) -> tuple:
+        """See :func:`tetraclade.operators.paralog.resolve`."""
+        from .paralog import resolve
+
+        return resolve(self, quartets, max_iter)
+
     def quartet_topology(self, quartets: Quartets, steiner: bool = False, strategy: str = "auto") -> DataFrame:
         """See :func:`tetraclade.operators.topology.quartet_topology`."""
         from .topology import quartet_topology
