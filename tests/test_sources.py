@@ -12,7 +12,8 @@ import pytest
 
 from tetraclade.sources import newick, readers
 
-TEXT = "((A:1,B:2):1,(C:3,D:4):1);\n# note\n\n((A:1,C:2):1,(B:3,D:4):1);\n"
+ONE, TWO = "((ape:3,bat:2):5,(cow:3,dog:7):2);", "((ape:3,cow:2):5,(bat:1,dog:7):2);"
+TEXT = f"{ONE}\n# note\n\n{TWO}\n"
 
 
 def test_parse_numbers_leaves_then_postorder():
@@ -115,7 +116,7 @@ def test_damaged_and_foreign_bytes():
 
 
 def test_input_forms(tmp_path):
-    one, two = "((A:1,B:2):1,(C:3,D:4):1);", "((A:1,C:2):1,(B:3,D:4):1);"
+    one, two = ONE, TWO
     path = tmp_path / "t.nwk"
     path.write_text(TEXT)
     label = readers.group_label([one, two])

@@ -7,6 +7,7 @@ random quartet depends only on (seed, i), so executors draw their own ranges fro
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -48,16 +49,20 @@ def draw(seed: int, index: np.ndarray, n: int) -> np.ndarray:
 
 def rank(q: Sequence[int]) -> int:
     """Combinatorial rank of four ids."""
-    a, b, c, d = sorted(q)
-    return a + b * (b - 1) // 2 + c * (c - 1) * (c - 2) // 6 + d * (d - 1) * (d - 2) * (d - 3) // 24
+    return sum(math.comb(int(x), k) for k, x in enumerate(sorted(q), 1))
 
 
 def ranks(q: np.ndarray) -> np.ndarray:
     """Ranks of rows of ascending ids; Python integers if they may be wide."""
     if len(q) and int(q.max()) >= WIDE_FROM:
         return np.array([rank(r) for r in q.tolist()], object)
-    a, b, c, d = q.astype(np.int64).T
-    return a + b * (b - 1) // 2 + c * (c - 1) // 2 * (c - 2) // 3 + d * (d - 1) // 2 * (d - 2) // 3 * (d - 3) // 4
+    out = np.zeros(len(q), np.int64)
+    for k in range(4):
+        term = x = q[:, k].astype(np.int64)
+        for i in range(1, k + 1):
+            term = term * (x - i) // (i + 1)
+        out += term
+    return out
 
 
 def unrank(index: int) -> Quartet:
@@ -67,38 +72,28 @@ def unrank(index: int) -> Quartet:
     out = []
     for k in (4, 3, 2, 1):
         lo, hi = k - 1, k
-        while _choose(hi, k) <= index:
+        while math.comb(hi, k) <= index:
             hi *= 2
         while hi - lo > 1:
             mid = (lo + hi) // 2
-            lo, hi = (mid, hi) if _choose(mid, k) <= index else (lo, mid)
+            lo, hi = (mid, hi) if math.comb(mid, k) <= index else (lo, mid)
         out.append(lo)
-        index -= _choose(lo, k)
+        index -= math.comb(lo, k)
     return tuple(out[::-1])
 
 
-def _choose(n: int, k: int) -> int:
-    x = 1
-    for i in range(k):
-        x = x * (n - i) // (i + 1)
-    return x
-
-
 def rank_column(a: Column, b: Column, c: Column, d: Column, wide: bool = False) -> Column:
     """Rank of ascending id columns as one expression; wide: DECIMAL(38,0)."""
     kind = "decimal(38,0)" if wide else "bigint"
 
-    def div(x: Column, k: int) -> Column:
-        return F.floor(x / k).cast(kind) if wide else F.call_function("div", x, F.lit(k))
-
-    a, b, c, d = (x.cast("decimal(19,0)" if wide else kind) for x in (a, b, c, d))
-    if wide:  # factors by turns, so that no intermediate passes 38 digits
-        two = lambda x: div((x * (x - 1)).cast(kind), 2)
-        three = lambda x: div((two(x) * (x - 2)).cast(kind), 3)
-        return (a + two(b) + three(c) + div((three(d) * (d - 3)).cast(kind), 4)).cast(kind)
-    two = lambda x: div(x * (x - 1), 2)
-    three = lambda x: div(two(x) * (x - 2), 3)
-    return a + two(b) + three(c) + div(three(d) * (d - 3), 4)
+    total = F.lit(0).cast(kind)
+    for k, x in enumerate((a, b, c, d)):
+        term = x = x.cast("decimal(19,0)" if wide else kind)
+        for i in range(1, k + 1):  # factors by turns, so that no intermediate passes 38 digits
+            product = (term * (x - i)).cast(kind)
+            term = F.floor(product / (i + 1)).cast(kind) if wide else F.call_function("div", product, F.lit(i + 1))
+        total = (total + term).cast(kind)
+    return total
 
 
 def unrank_table(df: DataFrame, index: str = "quartet_idx") -> DataFrame:
@@ -242,7 +237,7 @@ class Quartets:
         return named(self.table(spark), self.taxa).drop("qi")
 
 
-def named(df: DataFrame, taxa: Sequence[str], columns: Sequence[str] = ("a", "b", "c", "d")) -> DataFrame:
+def named(df: DataFrame, taxa: Sequence[str], columns: Sequence[str] = tuple("abcd")) -> DataFrame:
     """Id columns replaced by names: an array constant for few taxa, joins for many."""
     if len(taxa) <= 2048:
         names = F.array(*[F.lit(t) for t in taxa])

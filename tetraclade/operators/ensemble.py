@@ -226,11 +226,11 @@ class Ensemble:
 
         return resolve(self, quartets, max_iter)
 
-    def quartet_topology(self, quartets: Quartets, steiner: bool = False, strategy: str = "auto") -> DataFrame:
+    def quartet_topology(self, window: Quartets, steiner: bool = False, strategy: str = "auto") -> DataFrame:
         """See :func:`tetraclade.operators.topology.quartet_topology`."""
         from .topology import quartet_topology
 
-        return quartet_topology(self, quartets, steiner, strategy)
+        return quartet_topology(self, window, steiner, strategy)
 
     def branch_distance(self, a: str | int, b: str | int) -> DataFrame:
         """See :func:`tetraclade.operators.trees.branch_distance`."""

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_QUARTET = ["quartet_idx", "a", "b", "c", "d"]
+_QUARTET = ["quartet_idx", *"abcd"]
 
 
 def _form(form: str) -> bool:

@@ -43,7 +43,7 @@ def quartet_index(ens: Ensemble, quartets: Quartets) -> DataFrame:
     """``(genome, qi)`` of the quartets that touch a genome's slots."""
     genome = ens.taxa_table().groupBy("genome").agg(F.collect_list("gid").alias("gids")).where(F.size("gids") > 1)
     members = genome.select("genome", F.explode("gids").alias("gid"))
-    touched = quartets.table(ens.spark).select("qi", F.explode(F.array("a", "b", "c", "d")).alias("gid"))
+    touched = quartets.table(ens.spark).select("qi", F.explode(F.array(*"abcd")).alias("gid"))
     return touched.join(F.broadcast(members), "gid").select("genome", "qi").distinct()
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOG3 = 0.9102392266268374
-QUARTET = ["qi", "quartet_idx", "a", "b", "c", "d"]
+QUARTET = ["qi", "quartet_idx", *"abcd"]
 
 
 def default_pairs(groups: Sequence[str]) -> list[tuple[str, str]]:

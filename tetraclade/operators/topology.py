@@ -29,7 +29,7 @@ BROADCAST_BYTES = 64 << 20
 #: Bytes of packed trees in a block, and quartets in a range.
 BLOCK_BYTES, RANGE = 16 << 20, 65_536
 
-KEYS = ["qi", "quartet_idx", "a", "b", "c", "d", "group"]
+KEYS = ["qi", "quartet_idx", *"abcd", "group"]
 _STEINER = ["steiner_sum", "steiner_min", "steiner_max", "steiner_sq"]
 
 
@@ -75,7 +75,7 @@ def _rows(qi: np.ndarray, q: np.ndarray, cube: list[np.ndarray], n_groups: int,
 
 def _schema(quartets: Quartets, steiner: bool) -> T.StructType:
     kind = T.DecimalType(38, 0) if quartets.wide else T.LongType()
-    fields = [T.StructField("qi", T.LongType()), T.StructField("quartet_idx", kind), *[T.StructField(x, T.IntegerType()) for x in ("a", "b", "c", "d", "group_idx", "topology", "count")]]
+    fields = [T.StructField("qi", T.LongType()), T.StructField("quartet_idx", kind), *[T.StructField(x, T.IntegerType()) for x in (*"abcd", "group_idx", "topology", "count")]]
     return T.StructType(fields + [T.StructField(x, T.DoubleType()) for x in _STEINER] * steiner)
 
 
@@ -114,7 +114,7 @@ def _blocks(ens: Ensemble, quartets: Quartets, steiner: bool, size: int) -> Data
 
     # the range side is a few numbers a row; a block is read once for each range
     partial = parts.crossJoin(F.broadcast(ranges)).select("start", "payload").repartition("start", F.xxhash64("payload")).mapInArrow(run, schema)
-    keys = ["qi", "quartet_idx", "a", "b", "c", "d", "group_idx", "topology"]
+    keys = ["qi", "quartet_idx", *"abcd", "group_idx", "topology"]
     how = [F.sum("count").cast("int").alias("count")]
     if steiner:
         how += [F.sum("steiner_sum").alias("steiner_sum"), F.min("steiner_min").alias("steiner_min"), F.max("steiner_max").alias("steiner_max"), F.sum("steiner_sq").alias("steiner_sq")]

@@ -238,13 +238,14 @@ def parse(text: str, strategy: str = "multifurcation", missing: float = 1.0) ->
 def split_block(text: str) -> list[str]:
     """Trees of a block: one a line, without blank lines and lines that start with '#'."""
     out = []
-    for number, line in enumerate(text.splitlines(), 1):
-        line = line.strip()
-        if line and not line.startswith("#"):
-            try:
-                out.append(validate_newick(line))
-            except ValueError as e:
-                raise ValueError(f"line {number}: {e}") from None
+    lines = map(str.strip, text.splitlines())
+    for number, tree in enumerate(lines, 1):
+        if tree[:1] in ("", "#"):
+            continue
+        try:
+            out.append(validate_newick(tree))
+        except ValueError as e:
+            raise ValueError(f"line {number}: {e}") from None
     if not out:
         raise ValueError("no trees found")
     return out

@@ -62,8 +62,8 @@ def decompress(data: bytes, source: str = "input") -> str:
     except Exception as e:
         raise ValueError(f"{source}: damaged {kind} data ({e})") from e
     try:
-        return data.decode("utf-8")
-    except UnicodeDecodeError as e:
+        return str(data, "utf-8")
+    except UnicodeError as e:
         raise ValueError(f"{source}: not UTF-8 text") from e
 
 
@@ -120,7 +120,7 @@ def _atom(x: str | os.PathLike) -> list[str]:
         raise TypeError(f"trees must be strings or paths, not {type(x).__name__}")
     if "\n" in x:
         return split_block(x)
-    if x.lstrip().startswith("("):
+    if x.lstrip()[:1] == "(":
         return [validate_newick(x)]
     return _file(x) if os.path.exists(x) else [validate_newick(x)]
 
