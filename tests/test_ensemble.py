@@ -49,6 +49,18 @@ def test_plans_agree_with_the_definition(ens, window, strategy):
     check(quartet_topology(ens, window, True, strategy).collect(), GROUPS, ens.taxa, scalar.combos(8))
 
 
+@pytest.mark.parametrize("steiner", [False, True])
+def test_slices_and_blocks_of_any_size_agree(ens, window, steiner, monkeypatch):
+    from tetraclade.operators import topology
+
+    want = {tuple(r) for r in quartet_topology(ens, window, steiner, "broadcast").collect()}
+    monkeypatch.setattr(topology, "BLOCK_BYTES", 2000)
+    round_ = lambda rows: {tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows}
+    for cube in (1 << 20, 3 * 4 * 8 * 5 * 16):
+        monkeypatch.setattr(topology, "CUBE_BYTES", cube)
+        assert round_(quartet_topology(ens, window, steiner, "blocks").collect()) == round_(want)
+
+
 @pytest.mark.parametrize("strategy", ["zero-length-branch", "both"])
 def test_zero_length_strategies(spark, strategy):
     e = Ensemble(spark, GROUPS, polytomy_strategy=strategy)

@@ -2,8 +2,7 @@
 
 ``broadcast``: the packed trees, if their size allows, go to every executor and each
 task owns its quartets, so rows come out final and nothing is shuffled. ``blocks``:
-trees stay distributed in blocks, every (quartet range, block) pair is a row of its
-own work, and partial counts are added up. ``relational``: joins over the table of
+trees stay distributed in blocks; see :func:`_blocks`. ``relational``: joins over the table of
 common ancestors, for small data and for comparison.
 """
 
@@ -26,8 +25,10 @@ if TYPE_CHECKING:
 
 #: Bytes of packed trees up to which they are broadcast.
 BROADCAST_BYTES = 64 << 20
-#: Bytes of packed trees in a block, and quartets in a range.
-BLOCK_BYTES, RANGE = 16 << 20, 65_536
+#: Bytes of packed trees in a block.
+BLOCK_BYTES = 4 << 20
+#: Bytes of running counts that a task holds.
+CUBE_BYTES = 64 << 20
 
 KEYS = ["qi", "quartet_idx", *"abcd", "group"]
 _STEINER = ["steiner_sum", "steiner_min", "steiner_max", "steiner_sq"]
@@ -99,26 +100,78 @@ def _broadcast(ens: Ensemble, quartets: Quartets, steiner: bool) -> DataFrame:
     return quartets.positions(ens.spark).mapInArrow(run, schema)
 
 
+def _add(cube: list[np.ndarray], more: list[np.ndarray], at: slice) -> None:
+    """Counts of a stretch of quartets added to a running cube."""
+    for k, (x, y) in enumerate(zip(cube, more)):
+        if k == 2:
+            np.minimum(x[at], y, out=x[at])
+        elif k == 3:
+            np.maximum(x[at], y, out=x[at])
+        else:
+            x[at] += y
+
+
 def _blocks(ens: Ensemble, quartets: Quartets, steiner: bool, size: int) -> DataFrame:
+    """Trees in blocks, counts in cubes of bounded size.
+
+    If the counts of the whole window fit one cube, every task adds up its own trees
+    over all quartets: trees don't move, and one cube a task meets the others in an
+    aggregate. Else the window is cut into slices of a cube each; a slice's task
+    streams over all blocks, so trees move once for each slice and rows come out final.
+    """
     schema, n_groups, wide = _schema(quartets, steiner), ens.n_groups, quartets.wide
     parts = blocks(ens, max(2, -(-size // BLOCK_BYTES)))
-    ranges = ens.spark.range(0, quartets.count, RANGE).withColumnRenamed("id", "start")
-
-    def run(batches):
+    width = max(1, CUBE_BYTES // (n_groups * 4 * 8 * (5 if steiner else 1)))
+
+    def empty(n: int) -> list[np.ndarray]:
+        shape = (n, n_groups, 4)
+        return [np.zeros(shape, np.int64)] + ([np.zeros(shape), np.full(shape, np.inf), np.full(shape, -np.inf), np.zeros(shape)] if steiner else [])
+
+    def add(cube: list[np.ndarray], start: int, payload: bytes) -> None:
+        trees = kernel.load(payload)
+        n = len(cube[0])
+        for s in range(0, n, kernel.BATCH):
+            at = slice(s, min(s + kernel.BATCH, n))
+            q = quartets.at(np.arange(at.start, at.stop) + start + quartets.offset)
+            _add(cube, kernel.count(trees, q, n_groups, steiner), at)
+
+    def emit(cube: list[np.ndarray], start: int):
+        for s in range(0, len(cube[0]), kernel.BATCH):
+            qi = np.arange(s, min(s + kernel.BATCH, len(cube[0]))) + start
+            part = [x[s : s + kernel.BATCH] for x in cube]
+            yield pa.RecordBatch.from_arrays(_rows(qi, quartets.at(qi + quartets.offset), part, n_groups, wide), names=schema.names)
+
+    def by_trees(batches):
+        cube = None
+        for batch in batches:
+            for payload in batch.column(0):
+                cube = cube or empty(quartets.count)
+                add(cube, 0, payload.as_py())
+        if cube:
+            yield from emit(cube, 0)
+
+    def by_slice(batches):
+        cube, now = None, -1
         for batch in batches:
             for start, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                trees = kernel.load(payload.as_py())
-                qi = np.arange(start, min(start + RANGE, quartets.count))
-                for part, q, cube in _counted(quartets, trees, n_groups, steiner, qi):
-                    yield pa.RecordBatch.from_arrays(_rows(part, q, cube, n_groups, wide), names=schema.names)
-
-    # the range side is a few numbers a row; a block is read once for each range
-    partial = parts.crossJoin(F.broadcast(ranges)).select("start", "payload").repartition("start", F.xxhash64("payload")).mapInArrow(run, schema)
+                if start != now:
+                    if cube:
+                        yield from emit(cube, now)
+                    cube, now = empty(min(width, quartets.count - start)), start
+                add(cube, start, payload.as_py())
+        if cube:
+            yield from emit(cube, now)
+
+    if quartets.count > width:
+        starts = ens.spark.range(0, quartets.count, width).withColumnRenamed("id", "start")
+        n = -(-quartets.count // width)
+        met = parts.crossJoin(F.broadcast(starts)).select("start", "payload").repartition(n, "start").sortWithinPartitions("start")
+        return met.mapInArrow(by_slice, schema)
     keys = ["qi", "quartet_idx", *"abcd", "group_idx", "topology"]
     how = [F.sum("count").cast("int").alias("count")]
     if steiner:
         how += [F.sum("steiner_sum").alias("steiner_sum"), F.min("steiner_min").alias("steiner_min"), F.max("steiner_max").alias("steiner_max"), F.sum("steiner_sq").alias("steiner_sq")]
-    return partial.groupBy(*keys).agg(*how)
+    return parts.mapInArrow(by_trees, schema).groupBy(*keys).agg(*how)
 
 
 def topology_case(r0: Column, r1: Column, r2: Column, inserted: Column) -> Column:
