@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tetraclade.operators import frames, qed, stats, trees
 from tetraclade.operators.ensemble import Ensemble
 from tetraclade.operators.topology import quartet_topology
-from tetraclade.plans.planner import available_strategies, quiet, use_strategy
+from tetraclade.plans.planner import available_strategies, quiet, silent_benchmark, use_strategy
 
 NAMES = list("abcdefgh")
 GROUPS = {"g1": generators.ensemble(9, NAMES, 1), "g0": generators.ensemble(7, NAMES, 2), "solo": generators.ensemble(1, NAMES, 3, least=8)}
@@ -185,6 +185,8 @@ def test_namespace_groups_and_guards(spark, ens):
 
 
 def test_overrides(ens, window):
+    with silent_benchmark("broadcast"):
+        assert ens.quartet_topology(window).count() == 70 * 12
     with use_strategy("relational"), quiet():
         plan = ens.quartet_topology(window)._jdf.queryExecution().toString()
     assert "Join" in plan and "auto" in available_strategies()
@@ -216,6 +218,9 @@ def test_scores_follow_the_definition(ens, window):
     for r in rows:
         assert r["qed"] == pytest.approx(scalar.qed(counts[r["qi"], r["group_a"]], counts[r["qi"], r["group_b"]]))
     cube = np.array([[counts[i, g] for g in ens.groups] for i in range(70)])
+    assert (frames.dense_counts(t, ens.groups)[:, :, :3] == cube).all()
+    many = [(x, y) for x in ens.groups for y in ens.groups] * 8
+    assert qed.qed(t, ens.groups, many).count() == 70 * len(many)
     got = {(r["qi"], r["group_a"], r["group_b"]): r["qed"] for r in rows}
     pairs = list(itertools.combinations(range(3), 2))
     for i, row in enumerate(qed.qed_array(cube, pairs)):

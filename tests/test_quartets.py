@@ -78,6 +78,7 @@ def test_ranks_are_dense_and_invertible(spark):
     df = spark.createDataFrame([wide, (0, 1, 2, 3)], "a int, b int, c int, d int")
     got = df.select(fq.rank_column(*[F.col(x) for x in "abcd"], wide=True).alias("r")).collect()
     assert [int(r["r"]) for r in got] == [fq.rank(wide), 0]
+    assert fq.unrank_names(1, "ABCDE") == ("A", "B", "C", "E") and fq.unrank_names([0, 4], "ABCDE") == [tuple("ABCD"), tuple("BCDE")]
     with pytest.raises(ValueError):
         fq.unrank(-1)
     back = fq.unrank_table(spark.range(70).withColumnRenamed("id", "quartet_idx")).orderBy("quartet_idx").collect()

@@ -54,6 +54,24 @@ def test_validate_rejects(bad):
     assert newick.validate_newick(" (a,b);\n") == "(a,b);" and newick.format_newick(" (a,b) ") == "(a,b);"
 
 
+def test_validators_agree_as_expressions(spark):
+    from tetraclade.functions import text
+
+    forms = ["", "  ", "(a,b)", "(a,b);;", "(a;b);", "(a,b));", "((a,b);", ")a,b(;", "(a,b);", " ((a,b),c); ", ";", "(a,b,c);"]
+    rows = spark.createDataFrame([(x,) for x in [*forms, None]], "x string").select("x", text.valid_newick(text.F.col("x")).alias("v"), text.format_newick(text.F.col("x")).alias("f"), text.has_multifurcations(text.F.col("x")).alias("m")).collect()
+    for r in rows:
+        if r["x"] is None:
+            assert r["v"] is None and r["f"] is None
+            continue
+        try:
+            newick.validate_newick(r["x"])
+            ok = True
+        except ValueError:
+            ok = False
+        assert r["v"] == ok and r["f"] == newick.format_newick(r["x"])
+        assert r["m"] == (r["x"].count("(") < r["x"].count(","))
+
+
 def test_deep_trees_need_no_recursion():
     rng = random.Random(1)
     t = newick.parse(generators.caterpillar([f"t{i}" for i in range(5000)], rng))
@@ -74,6 +92,8 @@ def test_single_tree_operators():
     assert t.multi_lca(["B"]) == (1, 0.0) and t.multi_lca(["A", "C", "D"])[1] == 1 + 4 + 3 + 5 + 8 + 6
     assert t.split("E", "A", "B", "D") == (0, 1, 3, 4)
     assert newick.parse("(a:1,b:1,c:1,d:1);").split(0, 1, 2, 3) == (0, 3, 1, 2)  # equal scores pair first and last
+    assert t.distance("B", "E", return_lca=True)[1] == t.lca(1, 4) and t.split_index("E", "A", "B", "D") == 0
+    assert t.split_sets("A", "B", "D", "E") == frozenset((frozenset("AB"), frozenset("DE"))) and t.split_sets(0, 1, 3, 4) == frozenset((frozenset((0, 1)), frozenset((3, 4))))
     with pytest.raises(ValueError):
         t.multi_lca([])
     with pytest.raises(ValueError):

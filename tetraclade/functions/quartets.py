@@ -109,6 +109,13 @@ def unrank_table(df: DataFrame, index: str = "quartet_idx") -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def unrank_names(index: int | Sequence[int], taxa: Sequence[str]) -> tuple | list[tuple]:
+    """Names of the quartet of a rank, or of each of several."""
+    if isinstance(index, (int, np.integer)):
+        return tuple(taxa[i] for i in unrank(int(index)))
+    return [unrank_names(int(x), taxa) for x in index]
+
+
 class Quartets:
     """The window [offset, offset + count) of the sequence over an ordered list of taxa."""
 

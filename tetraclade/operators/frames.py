@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +51,15 @@ def qed_frame(scores: DataFrame, pairs: Sequence[tuple[str, str]], form: str = "
     return df.dropDuplicates(_QUARTET) if deduplicate else df
 
 
+def dense_counts(topology: DataFrame, groups: Sequence[str], column: str = "count") -> np.ndarray:
+    """The result as an array (quartets, groups, 4) on the driver, for windows that fit there."""
+    order = {g: i for i, g in enumerate(sorted(groups))}
+    pdf = topology.select("qi", "group", "topology", column).toPandas()
+    out = np.full((int(pdf["qi"].max()) + 1 if len(pdf) else 0, len(order), 4), np.nan if column != "count" else 0, float if column != "count" else np.int64)
+    out[pdf["qi"], pdf["group"].map(order), pdf["topology"]] = pdf[column]
+    return out
+
+
 def mean_steiner(topology: DataFrame) -> DataFrame:
     """A steiner result with ``steiner_mean`` (0 where nothing was counted)."""
     return topology.withColumn("steiner_mean", F.col("steiner_sum") / F.greatest("count", F.lit(1)))

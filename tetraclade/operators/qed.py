@@ -67,8 +67,12 @@ def qed(topology: DataFrame, groups: Sequence[str], group_pairs: Sequence[tuple[
         return topology.sparkSession.createDataFrame([], schema)
     cell = F.struct(F.struct("group", "topology"), "count")
     resolved = topology.where("topology < 3").groupBy(*QUARTET).agg(F.map_from_entries(F.collect_list(cell)).alias("n"))
-    pair = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in pairs]))
-    df = resolved.select(*QUARTET, "n", pair.alias("p"))
+    if len(pairs) <= 64:
+        pair = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in pairs]))
+        df = resolved.select(*QUARTET, "n", pair.alias("p"))
+    else:  # a table of names, quadratic in groups and independent of quartets
+        table = topology.sparkSession.createDataFrame(pairs, "x string, y string").select(F.struct("x", "y").alias("p"))
+        df = resolved.select(*QUARTET, "n").crossJoin(F.broadcast(table))
 
     def count(side: str, k: int) -> Column:
         return F.coalesce(F.col("n")[F.struct(F.col(f"p.{side}").alias("group"), F.lit(k).alias("topology"))], F.lit(0)).alias(f"{side}{k}")

@@ -239,8 +239,11 @@ def quartet_topology(ens: Ensemble, quartets: Quartets, steiner: bool = False, s
         df = _broadcast(ens, quartets, steiner) if small else _blocks(ens, quartets, steiner, size)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
-    group = F.element_at(F.array(*[F.lit(g) for g in ens.groups]), F.col("group_idx") + 1)
-    df = named(df.withColumn("group", group), ens.taxa)
+    if len(ens.groups) <= 2048:
+        df = df.withColumn("group", F.element_at(F.array(*[F.lit(g) for g in ens.groups]), F.col("group_idx") + 1))
+    else:
+        df = df.join(ens.group_table(), "group_idx")
+    df = named(df, ens.taxa)
     out = [*KEYS, "topology", "count"]
     if not steiner:
         return df.select(*out)

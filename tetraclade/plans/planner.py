@@ -32,6 +32,13 @@ def use_strategy(name: str) -> Iterator[None]:
         _forced.pop()
 
 
+@contextlib.contextmanager
+def silent_benchmark(name: str) -> Iterator[None]:
+    """:func:`use_strategy` and :func:`quiet` together."""
+    with use_strategy(name), quiet(logging.CRITICAL):
+        yield
+
+
 @contextlib.contextmanager
 def quiet(level: int = logging.ERROR, name: str = "tetraclade") -> Iterator[None]:
     """Keep messages below ``level`` of a logger back inside the block."""

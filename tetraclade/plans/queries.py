@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import quartets as fq
+from ..functions import text
 from ..operators import consensus, frames, paralog, qed, stats, trees
 from ..operators.ensemble import Ensemble
 from ..operators.topology import quartet_topology
@@ -132,6 +133,16 @@ def newick_tree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.tree_stats(derived.ensemble(spark, sf_dir).trees)
 
 
+@_query("newick_validate", _with(_LADDER) + """, t AS (SELECT DISTINCT tree_id FROM ranks WHERE n >= 2)
+SELECT CAST(tree_id AS BIGINT) AS tree_id, v AS form, v IN (0, 4) AS valid, FALSE AS multifurcating FROM t CROSS JOIN (VALUES (0), (1), (2), (3), (4)) x(v)""")
+def newick_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("newick")
+    bare = F.regexp_replace(t, ";", "")
+    forms = F.array(t, bare, F.concat(F.lit("("), t), F.concat(F.lit(")("), t), text.format_newick(F.concat(F.lit(" "), bare)))
+    x = derived.ladder(spark, sf_dir).select("tree_id", "newick", F.posexplode(forms).alias("form", "x"))
+    return x.select("tree_id", "form", text.valid_newick(F.col("x")).alias("valid"), text.has_multifurcations(t).alias("multifurcating"))
+
+
 @_query("polytomy_stats", _with(_STAR) + """SELECT grp AS "group", count(*) AS n_trees, count(*) AS n_with_polytomy, CAST(sum(p) AS BIGINT) AS n_poly_nodes, CAST(0 AS BIGINT) AS n_zero_length
 FROM (SELECT grp, tree_id, CAST(count(*) - count(DISTINCT rk) * 2 + count(DISTINCT rk) - 2 AS BIGINT) AS p FROM star GROUP BY 1, 2) GROUP BY 1""")
 def polytomy_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,10 +131,12 @@ class Tree:
             return self.names.index(x)
         return x
 
-    def distance(self, u: int | str, v: int | str) -> float:
-        """Summed lengths on the path between two nodes."""
+    def distance(self, u: int | str, v: int | str, return_lca: bool = False) -> float | tuple[float, int]:
+        """Summed lengths on the path between two nodes, and the node where it turns if asked for."""
         u, v = self.node(u), self.node(v)
-        return 0.0 if u == v else float(self.rd[u] + self.rd[v] - 2 * self.rd[self.lca(u, v)])
+        top = self.lca(u, v)
+        d = 0.0 if u == v else float(self.rd[u] + self.rd[v] - 2 * self.rd[top])
+        return (d, top) if return_lca else d
 
     def multi_lca(self, nodes: list[int | str]) -> tuple[int, float]:
         """Common ancestor of all nodes, and the length of the smallest subtree that joins them."""
@@ -149,7 +151,10 @@ class Tree:
         return top, sum(self.distance(a, b) for a, b in zip(ids, ids[1:] + ids[:1])) / 2
 
     def split(self, a: int | str, b: int | str, c: int | str, d: int | str) -> tuple[int, int, int, int]:
-        """(p0, p1, q0, q1) of the pairing p0 p1 | q0 q1; equal scores give the first with the last."""
+        """(p0, p1, q0, q1) of the pairing p0 p1 | q0 q1; equal scores give the first with the last.
+
+        :meth:`multi_lca` of the four nodes has the length of their subtree.
+        """
         w, x, y, z = sorted(self.node(v) for v in (a, b, c, d))
         if len({w, x, y, z}) < 4:
             raise ValueError("the four nodes must differ")
@@ -164,6 +169,19 @@ class Tree:
         return w, z, x, y
 
 
+    def split_index(self, a: int | str, b: int | str, c: int | str, d: int | str) -> int:
+        """0, 1 or 2: which of the other nodes, in ascending order, pairs with the least."""
+        p0, p1, *rest = self.split(a, b, c, d)
+        return sorted([p1, *rest]).index(p1)
+
+    def split_sets(self, a: int | str, b: int | str, c: int | str, d: int | str) -> frozenset[frozenset]:
+        """The pairing as a set of two sets, of names if all four are names."""
+        q = (a, b, c, d)
+        label = {self.node(x): x for x in q} if all(isinstance(x, str) for x in q) else {}
+        p = [label.get(v, v) for v in self.split(*q)]
+        return frozenset((frozenset(p[:2]), frozenset(p[2:])))
+
+
 def parse(text: str, strategy: str = "multifurcation", missing: float = 1.0) -> Tree:
     """The tree of a NEWICK string; ``missing`` stands for lengths that aren't given.
 
