@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..ship import ship
+
 _M32 = np.uint64(0xFFFFFFFF)
 #: From this many taxa on, ranks may pass 64 bits and are kept as decimals.
 WIDE_FROM = 86_000
@@ -98,6 +100,7 @@ def rank_column(a: Column, b: Column, c: Column, d: Column, wide: bool = False)
 
 def unrank_table(df: DataFrame, index: str = "quartet_idx") -> DataFrame:
     """``df`` with ids a, b, c, d of its ranks."""
+    ship(df.sparkSession)
     schema = T.StructType([*df.schema.fields, *[T.StructField(x, T.IntegerType()) for x in "abcd"]])
 
     def run(batches):
@@ -221,6 +224,7 @@ class Quartets:
 
     def positions(self, spark: SparkSession, partitions: int | None = None) -> DataFrame:
         """``qi`` 0 .. count - 1 as a distributed range."""
+        ship(spark)
         return spark.range(0, self.count, 1, partitions or max(1, min(spark.sparkContext.defaultParallelism * 2, -(-self.count // 4096)))).withColumnRenamed("id", "qi")
 
     def table(self, spark: SparkSession, partitions: int | None = None) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.quartets import Quartets
 from ..sources import newick
+from ..ship import ship
 from ..sources.readers import tree_table
 
 _INT, _DOUBLE = T.ArrayType(T.IntegerType()), T.ArrayType(T.DoubleType())
@@ -38,6 +39,7 @@ def parse_trees(df: DataFrame, taxon_map: Mapping[str, str] | None = None, strat
     """
     if strategy not in newick.STRATEGIES:
         raise ValueError(f"polytomy strategy must be one of {', '.join(newick.STRATEGIES)}")
+    ship(df.sparkSession)
     mapping = dict(taxon_map or {})
     schema = T.StructType([T.StructField("tree_id", T.LongType()), T.StructField("group", T.StringType()), *TREE_FIELDS])
 

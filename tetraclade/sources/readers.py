@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from .newick import split_block, validate_newick
 
 _MAGIC = ((b"\x1f\x8b", "gzip"), (b"BZh", "bzip2"), (b"\xfd7zXZ\x00", "xz"), (b"\x28\xb5\x2f\xfd", "zstd"))
@@ -172,6 +173,7 @@ def read_trees(spark: SparkSession, path: str, group: Column | None = None) -> D
     default. ``tree_id`` packs a hash of the file's path and the line number, so it
     doesn't depend on partitioning.
     """
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def lines(batches):

@@ -17,11 +17,13 @@ from pyspark.sql import types as T
 
 from ..functions.quartets import Quartets
 from ..operators import kernel
+from ..ship import ship
 from ..sources import newick
 
 
 def tree_topologies(trees: DataFrame, quartets: Quartets, keep: Sequence[str] = ("group",), strategy: str = "multifurcation", missing_length: float = 1.0) -> DataFrame:
     """``keep`` and ``(qi, topology, steiner)``: one row for each tree and quartet it holds; narrow, stream or batch."""
+    ship(trees.sparkSession)
     number = {t: i for i, t in enumerate(quartets.taxa)}
     new = [T.StructField("qi", T.LongType()), T.StructField("topology", T.IntegerType()), T.StructField("steiner", T.DoubleType())]
     schema = T.StructType([*[trees.schema[c] for c in keep], *new])
