@@ -29,6 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..ship import ship
 from .textops import chunks, flat, map_text
 
 #: Letters, digits, other signs, each with one space before it, and white space.
@@ -194,6 +195,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids", path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """``(id, text)`` of rows of token ids; bytes that are not UTF-8 become U+FFFD, null stays null."""
+    ship(encoded.sparkSession)
     schema = T.StructType([encoded.schema[id_col], T.StructField("text", T.StringType())])
 
     def run(batches):

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..ship import ship
 from .license_texts import TEMPLATES
 from .textops import PUNCTUATION, Words, chunks, flat, ngrams
 
@@ -165,6 +166,7 @@ def index() -> Index:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each license passage; character spans count code points of the text."""
+    ship(docs.sparkSession)
     id_field = T.StructField("doc_id", docs.schema[id_col].dataType)
     schema = T.StructType([
         id_field, T.StructField("license", T.StringType()), T.StructField("form", T.StringType()), T.StructField("coverage", T.DoubleType()),

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..ship import ship
 from .textops import PUNCTUATION, Words, chunks, flat, map_text, mix64
 
 SPACE_BITS = 20
@@ -85,10 +86,10 @@ def _weights(z: np.ndarray, n: np.ndarray, l1: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray]:
     """The model of the bounded labelled sample, fitted in one task of an executor."""
-    h = F.xxhash64(F.col(f"`{id_col}`"), F.lit("toxicity"))
+    ship(docs.sparkSession)
     few = labels.where(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull())
     few = few.groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.max(F.col(f"`{label_col}`").cast("int")).alias("y"))
-    few = few.withColumn("h", h.alias("h") if id_col == "id" else F.xxhash64("id", F.lit("toxicity"))).orderBy("h").limit(TRAIN_ROWS)
+    few = few.withColumn("h", F.xxhash64("id", F.lit("toxicity"))).orderBy("h").limit(TRAIN_ROWS)
     # at most TRAIN_ROWS rows of three numbers, at any size of the corpus
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(few), "id")
     rows = rows.repartition(1).sortWithinPartitions("h", "text")
