@@ -93,15 +93,21 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     by = cells.groupby("edge", sort=True)
     edges = by.n.sum()
     cuts = boundaries(edges.index.to_numpy(), edges.to_numpy(), by.t.sum().to_numpy(), buckets)
-    cells["bucket"] = np.searchsorted(cuts, cells.edge.to_numpy()) if cuts else np.zeros(0, int)
-    cells["before"] = cells.groupby("bucket").n.cumsum() - cells.n
-    cells["bucket_len"] = np.array(cuts, np.int64)[cells.bucket] if cuts else np.zeros(0, np.int64)
-    cells["room"] = np.maximum(1, token_budget // np.maximum(1, cells.bucket_len))
-    # a row for each bin and shard: bounded by the number of bins, not by the corpus
+    number = np.searchsorted(edges.index.to_numpy(), cells.edge.to_numpy())
+    counts = np.zeros((len(edges), SHARDS), np.int64)
+    counts[number, cells["shard"].to_numpy()] = cells.n.to_numpy()
+    bucket = np.searchsorted(cuts, edges.index.to_numpy()) if cuts else np.zeros(0, np.int64)
+    before = (np.cumsum(counts.ravel()) - counts.ravel()).reshape(counts.shape)
+    first = np.searchsorted(bucket, bucket)  # bins ascend, so a bucket's rows follow each other
+    before -= before[first, 0][:, None]
+    # a row for each length bin: bounded by the number of bins, not by the corpus
     offsets = spark.createDataFrame(
-        [tuple(int(x) for x in r) for r in cells[["edge", "shard", "bucket", "bucket_len", "before", "room"]].itertuples(index=False)],
-        "edge bigint, shard int, bucket int, bucket_len bigint, before bigint, room bigint",
+        [
+            (int(e), int(k), int(cuts[k]), max(1, token_budget // max(1, cuts[k])), row.tolist())
+            for e, k, row in zip(edges.index, bucket, before)
+        ],
+        "edge bigint, bucket int, bucket_len bigint, room bigint, before array<bigint>",
     )
     place = F.row_number().over(Window.partitionBy("edge", "shard").orderBy("doc_id", "n_tokens")) - 1
-    placed = n.withColumn("place", place).join(F.broadcast(offsets), ["edge", "shard"])
+    placed = n.withColumn("place", place).join(F.broadcast(offsets), "edge").withColumn("before", F.get("before", F.col("shard")))
     return placed.select("doc_id", "n_tokens", "bucket", "bucket_len", F.floor((F.col("before") + F.col("place")) / F.col("room")).cast("bigint").alias("batch"))
