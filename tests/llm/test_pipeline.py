@@ -34,7 +34,7 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
             for i in before.keys() - after.keys():
                 assert any(near(i, j) > 0.35 for j in before if j != i)
             kept = sorted(after)
-            assert not any(near(a, b) >= 0.65 for n, a in enumerate(kept) for b in kept[:n])
+            assert not any(near(a, b) >= 0.75 for n, a in enumerate(kept) for b in kept[:n])
         else:
             gone = brute_repeats([(i, r["text"]) for i, r in before.items()])
             for i, r in before.items():
