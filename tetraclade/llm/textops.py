@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..ship import ship
 
 #: Bytes of text that are turned into numpy arrays at once (memory bound of a worker).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = (1 << 20) - 4096
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
