@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .textops import Words, chunks, filter_text, flat, map_text, mix64, ngrams
+from .textops import Words, chunks, filter_text, flat, map_text, mix64, ngrams, powers
 
 NGRAMS = (5, 6, 7, 8, 9, 10)
 #: Largest accepted share of characters inside repeated n-grams of n words (0: lines).
@@ -70,8 +70,6 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     line = newline[w.start]
     first = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (w.doc[1:] != w.doc[:-1])]))
     last = np.append(first[1:], len(w))
-    from .textops import powers
-
     p, q = powers(len(w) + 1, 0xA24BAED4963EE407)
     s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * p[:-1])])
     again = _later(mix64((s[last] - s[first]) * q[first]) + salt[first])

@@ -64,10 +64,9 @@ for _a in range(PERIOD):
 assert (_SHIFT >= 0).all()
 
 
-def _columns(text: np.ndarray, at: np.ndarray, first: int, last: int):
-    """Pairs of symbols of the suffixes ``at``, as one key for each two symbols."""
-    for i in range(first, last, 2):
-        yield (text[at + i].astype(np.uint64) << np.uint64(32)) | text[at + i + 1]
+def _two(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One key for the two symbols at each position."""
+    return (text[at].astype(np.uint64) << np.uint64(32)) | text[at + 1]
 
 
 def _refine(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +78,7 @@ def _refine(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         where = np.flatnonzero(open_)
         if not len(where):
             break
-        key = next(_columns(text, order[where], i, i + 2))
+        key = _two(text, order[where] + i)
         by = np.lexsort((key, group[where]))
         order[where] = order[where][by]
         key = key[by]
@@ -129,7 +128,7 @@ def suffix_array(text: np.ndarray, wanted: np.ndarray | None = None, bucket: int
     if not len(at):
         return at
     lead = padded[at]
-    some = np.sort(lead[:: max(1, len(lead) * 64 // max(1, 64 * 4096))])
+    some = np.sort(lead[:: max(1, len(lead) // 4096)])
     cuts = np.unique(some[:: max(1, int(len(some) * bucket / len(lead)))])
     which = np.searchsorted(cuts, lead, "right")
     out = []
@@ -297,17 +296,15 @@ def _shard(batches):
             base = np.concatenate([[0], np.cumsum((r_size + 1 + PERIOD - 1) // PERIOD * PERIOD + PERIOD)])
             # aligned so that equal passages around one anchor lie in one residue class
             head = base[:-1] + (PERIOD - anchor[rep] % PERIOD) % PERIOD
-            joined = np.ones(int(base[-1]) + LENGTH, np.uint32)
-            at = np.repeat(head, r_size) + (np.arange(r_size.sum()) - np.repeat(np.concatenate([[0], np.cumsum(r_size)[:-1]]), r_size))
-            src = np.repeat(o[rep], r_size) + (np.arange(r_size.sum()) - np.repeat(np.concatenate([[0], np.cumsum(r_size)[:-1]]), r_size))
-            dense, codes = np.unique(text[src], return_inverse=True)
-            joined[:] = 0
-            joined[at] = codes + 1
+            inside = np.arange(r_size.sum()) - np.repeat(np.cumsum(r_size) - r_size, r_size)
+            dense, codes = np.unique(text[np.repeat(o[rep], r_size) + inside], return_inverse=True)
+            joined = np.zeros(int(base[-1]) + LENGTH, np.uint32)
+            joined[np.repeat(head, r_size) + inside] = codes + 1
             gaps = np.flatnonzero(joined[: int(base[-1])] == 0)
             joined[gaps] = len(dense) + 1 + np.arange(len(gaps))  # every gap symbol is unique
             joined[int(base[-1]) :] = len(dense) + 1 + len(gaps) + np.arange(LENGTH)
             starts = np.maximum(r_size - LENGTH + 1, 0)
-            within = np.arange(starts.sum()) - np.repeat(np.concatenate([[0], np.cumsum(starts)[:-1]]), starts)
+            within = np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts)
             owner = np.repeat(np.arange(len(rep)), starts)
             place = head[owner] + within
             back = np.full(len(joined), -1)
