@@ -8,6 +8,8 @@ look-up in constant time with memory of order n log n.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -151,6 +153,18 @@ def count(trees: list[tuple[int, Packed]], q: np.ndarray, n_groups: int, steiner
     return [np.moveaxis(x, 2, 0) for x in (counts, *stats)]
 
 
+_loaded: dict[bytes, list[tuple[int, Packed]]] = {}
+
+
+def load_once(payload: bytes) -> list[tuple[int, Packed]]:
+    """:func:`load`, kept by the process for its next task on the same trees."""
+    key = hashlib.blake2b(payload, digest_size=16).digest()
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = load(payload)
+    return _loaded[key]
+
+
 def load(payload: bytes) -> list[tuple[int, Packed]]:
     """The trees of a block."""
     out = []

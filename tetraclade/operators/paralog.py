@@ -89,7 +89,7 @@ def permutation_scores(ens: Ensemble, quartets: Quartets, genome: str, perms: Se
     ids, n_groups = ens.slot_ids(genome), ens.n_groups
 
     def run(batches):
-        trees = [t for p in payloads.value for t in kernel.load(p)]
+        trees = [t for p in payloads.value for t in kernel.load_once(p)]
         for batch in batches:
             for s in range(0, batch.num_rows, kernel.BATCH):
                 q = quartets.at(batch.column(0).to_numpy()[s : s + kernel.BATCH] + quartets.offset)

@@ -92,7 +92,7 @@ def _broadcast(ens: Ensemble, quartets: Quartets, steiner: bool) -> DataFrame:
     schema, n_groups, wide = _schema(quartets, steiner), ens.n_groups, quartets.wide
 
     def run(batches):
-        trees = [t for p in payloads.value for t in kernel.load(p)]
+        trees = [t for p in payloads.value for t in kernel.load_once(p)]
         for batch in batches:
             for qi, q, cube in _counted(quartets, trees, n_groups, steiner, batch.column(0).to_numpy()):
                 yield pa.RecordBatch.from_arrays(_rows(qi, q, cube, n_groups, wide), names=schema.names)
