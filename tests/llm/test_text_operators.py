@@ -518,5 +518,38 @@ def test_fingerprints_awkward(awkward, nothing):
     assert fingerprint.fingerprints(nothing).count() == 0
 
 
+def brute_extensions(rows):
+    """Longest common prefix of each row with any other, and the least identifier of equal texts."""
+    texts = [t or "" for _, t in rows]
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    longest = [max((common(t, u) for j, u in enumerate(texts) if j != i), default=0) for i, t in enumerate(texts)]
+    return longest, [min((r[0] for r, u in zip(rows, texts) if u == t), key=lambda x: (x is not None, x or 0)) for t in texts]
+
+
+def test_extensions_among_all_rows(spark, documents, awkward, nothing):
+    rng = random.Random(23)
+    rows = [(r["doc_id"], r["text"]) for r in documents.limit(120).collect()]
+    # later copies that leave the head's first row, copies edited in the first line, equal texts that aren't the first
+    for i in range(30):
+        at, t = rng.randint(0, 400), rows[rng.randint(0, len(rows) - 1)][1]
+        rows += [(10_000 + 2 * i, t[:at] + "é" + t[at:]), (10_001 + 2 * i, t[:at] + "é" + t[at : at + 100])]
+    rows += [(20_000, rows[130][1]), (20_001, ""), (20_002, None), (20_003, "€ alone")]
+    got = {r["doc_id"]: r for r in fingerprint.extensions(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    text = {i: t or "" for i, t in rows}
+    assert len(got) == len(rows)
+    for (i, t), longest, first in zip(rows, *brute_extensions(rows)):
+        r = got[i]
+        assert (r["n_chars"], r["fingerprint"], r["common_chars"], r["first_id"]) == (len(text[i]), horner(text[i]), longest, first), i
+        assert (r["partner_id"] is None) == (longest == 0) and r["partner_id"] != i
+        if longest:
+            assert text[r["partner_id"]][:longest] == text[i][:longest]
+    rows = [(r["doc_id"], r["text"]) for r in awkward.collect()]
+    got = fingerprint.extensions(awkward).collect()
+    key = lambda x: (x[0] is not None, x[0] or 0, *x[1:])
+    want = [(i, len(t or ""), n) for (i, t), n in zip(rows, brute_extensions(rows)[0])]
+    assert sorted([(r["doc_id"], r["n_chars"], r["common_chars"]) for r in got], key=key) == sorted(want, key=key)
+    assert fingerprint.extensions(nothing).count() == 0
+
+
 def test_entropy_is_finite():
     assert math.isfinite(langid.MAX_BITS)

@@ -14,6 +14,13 @@ that share a head with another move, sorted by head; the leader comes first in t
 stream and is the only one held, so a head that millions of rows share needs no
 more memory than one that two share.
 
+:func:`extensions` looks for every row's longest common extension among all rows. In
+the order of the texts a row's longest common prefix with any other row is the longer
+of those with its two neighbours, and rows of equal texts follow each other; so all
+texts are sorted once and each is compared with both neighbours. Partitions are cut
+between heads, so rows on both sides of a cut share less than ``HEAD`` characters and
+are compared by their heads, two rows a partition, in the driver.
+
 Defined cases: null and empty texts have fingerprint 0 and no characters, and share
 the empty head. Null identifiers come first. Equal rows get equal results. An empty
 table gives an empty table. Columns besides identifier and text are not read.
@@ -23,10 +30,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..ship import ship
 from .cluster import checkpoint
 from .textops import chunks, flat, map_text
 
@@ -157,3 +166,92 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.when(alone, F.col("e.doc_id")).otherwise(F.col("f.head_id")).alias("head_id"),
         F.when(alone, F.col("e.n_chars")).otherwise(F.col("f.common_chars")).alias("common_chars"),
     )
+
+
+_FIRST, _LAST = 1, 2  # edges of a partition
+_FOUND = ["doc_id", "n_chars", "fingerprint", "first_id", "partner_id", "common_chars"]
+
+
+def _neighbours(batches):
+    """Rows of the stream sorted by text, each against the rows before and after it."""
+    task = TaskContext.get().partitionId()
+    held = None  # the last row, its lead and its predecessor's identifier, common characters with that (-1: there is none)
+
+    def rows(ids, firsts, befores, text, o, fp, before, after):
+        m = len(after)
+        j = np.arange(m)
+        common = np.maximum(np.maximum(before, after), 0)
+        partner = pa.concat_arrays([befores, ids]).take(pa.array(np.where(before >= after, j, len(befores) + j + 1), mask=common == 0))
+        edge = np.where(before < 0, _FIRST, 0) | np.where(after < 0, _LAST, 0)
+        heads = pa.array([text[int(i)].as_py()[:HEAD] if edge[i] else None for i in j], pa.string())
+        return pa.RecordBatch.from_arrays(
+            [ids.slice(0, m), pa.array(np.diff(o)[:m]), pa.array(fp[:m]), firsts.slice(0, m), partner, pa.array(common), pa.array(np.full(m, task, np.int32)), pa.array(edge.astype(np.int32)), heads],
+            names=[*_FOUND, "task", "edge", "head"],
+        )
+
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        if not t.num_rows:
+            continue
+        _, offsets = flat(t["text"])
+        for a, b in chunks(offsets):
+            part = t.slice(a, b - a).combine_chunks()
+            ids, text = part["doc_id"].combine_chunks(), part["text"].combine_chunks().cast(pa.large_string())
+            none = pa.nulls(1, ids.type)
+            if held is None:
+                lead, previous, least = ids.slice(0, 1), none, -1
+            else:
+                lead, previous, least = held[2:]
+                ids, text = pa.concat_arrays([held[0], ids]), pa.concat_arrays([held[1], text])
+            codes, o = code_points(*flat(text))
+            p, n = Prefixes(codes), np.diff(o)
+            between = p.extension(o[:-2], o[1:-1], np.minimum(n[:-1], n[1:]))
+            same = (between == n[:-1]) & (between == n[1:])
+            runs = np.maximum.accumulate(np.where(np.append(False, same), 0, np.arange(len(ids))))
+            firsts = pa.concat_arrays([lead, ids.slice(1)]).take(pa.array(runs))
+            before = np.append(least, between)
+            befores = pa.concat_arrays([previous, ids.slice(0, len(ids) - 1)])
+            if len(between):
+                yield rows(ids, firsts, befores, text, o, p.span(o[:-1], o[1:]), before[:-1], between)
+            held = ids.slice(len(ids) - 1), text.slice(len(ids) - 1), firsts.slice(len(ids) - 1), befores.slice(len(ids) - 1), int(before[-1])
+    if held is not None:
+        codes, o = code_points(*flat(held[1]))
+        yield rows(held[0], held[2], held[3], held[1], o, Prefixes(codes).span(o[:-1], o[1:]), np.array([held[4]]), np.array([-1]))
+
+
+def _across(edges: list) -> list[tuple]:
+    """The first and last rows of all partitions, compared with those of the partitions beside."""
+    edges = sorted(edges, key=lambda r: (r["task"], r["edge"]))
+    best = [[r["partner_id"], r["common_chars"]] for r in edges]
+    for i in range(1, len(edges)):
+        x, y = edges[i - 1], edges[i]
+        if x["task"] == y["task"]:
+            continue
+        common = next((k for k, (a, b) in enumerate(zip(x["head"], y["head"])) if a != b), min(len(x["head"]), len(y["head"])))
+        if common > best[i - 1][1]:
+            best[i - 1] = [y["doc_id"], common]
+        if common and common >= best[i][1]:
+            best[i] = [x["doc_id"], common]
+    return [(r["doc_id"], r["n_chars"], r["fingerprint"], r["first_id"], *b) for r, b in zip(edges, best)]
+
+
+def extensions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_chars, fingerprint, first_id, partner_id, common_chars)`` of every row.
+
+    ``first_id`` is the least identifier of the rows with the same text. ``partner_id``
+    is another row with the longest common prefix of all, ``common_chars`` long (the
+    row before it in the order of texts and identifiers, if both neighbours share as
+    much), null if no row begins alike.
+    """
+    ship(docs.sparkSession)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.substring(text, 1, HEAD).alias("head"), text.alias("text"))
+    kind = rows.schema["doc_id"].dataType
+    kinds = [kind, T.LongType(), T.LongType(), kind, kind, T.LongType()]
+    schema = T.StructType([T.StructField(n, k) for n, k in zip(_FOUND, kinds)])
+    marked = T.StructType([*schema, T.StructField("task", T.IntegerType()), T.StructField("edge", T.IntegerType()), T.StructField("head", T.StringType())])
+    ordered = rows.repartitionByRange("head").drop("head").sortWithinPartitions("text", "doc_id")
+    # identifiers and hashes: small beside the texts, and used twice
+    found = checkpoint(ordered.mapInArrow(_neighbours, marked))
+    edges = _across(found.where("edge > 0").collect())
+    return found.where("edge = 0").select(*_FOUND).union(docs.sparkSession.createDataFrame(edges, schema))

@@ -50,6 +50,10 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_documents(spark, sf_dir))
 
 
+def op9_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.extensions(_documents(spark, sf_dir))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_documents(spark, sf_dir))
 
@@ -62,7 +66,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_licenses, op3_minhash, op4_bpe, op5_html, op6_toxicity, op7_language, op8_repeats, op9_fingerprints, op10_quality, pipeline)
+    for f in (op1_packing, op2_licenses, op3_minhash, op4_bpe, op5_html, op6_toxicity, op7_language, op8_repeats, op9_fingerprints, op9_extensions, op10_quality, pipeline)
 }
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
