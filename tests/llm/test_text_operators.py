@@ -360,6 +360,24 @@ def test_banded_alignment_equals_full_table():
         assert got and abs(got[0][3] - brute_alignment(t, d)[1]) <= 1  # equal scores may differ by a match
 
 
+def test_whole_license_texts_in_documents():
+    rng = random.Random(29)
+    noise = lambda n: " ".join(f"q{rng.randint(0, 999)}" for _ in range(n))
+    bodies = {name: text for name, form, text in license_texts.TEMPLATES if form == "full"}
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "Unlicense", "BSL-1.0", "Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"} == set(bodies)
+    for name, text in bodies.items():
+        body = noise(40) + "\n" + text.strip() + "\n" + noise(40)
+        raw = np.frombuffer(body.encode(), np.uint8)
+        (found,) = license.index().scan(raw, np.array([0, len(raw)]))
+        assert license_texts.TEMPLATES[found[1]][:2] == (name, "full") and found[2] == 1.0
+        words = re.findall(r"[A-Za-z0-9]+", text)
+        assert found[3] == len(words) and found[5] - found[4] == len(words)
+    # two licenses in one document, one behind a copyright line of its own
+    text = "Copyright (c) 2020 Someone\n" + bodies["BSD-3-Clause"] + noise(50) + "\n" + bodies["MIT"]
+    raw = np.frombuffer(text.encode(), np.uint8)
+    assert [license_texts.TEMPLATES[x[1]][:2] for x in license.index().scan(raw, np.array([0, len(raw)]))] == [("BSD-3-Clause", "full"), ("MIT", "full")]
+
+
 def test_license_awkward(spark, awkward, nothing):
     assert license.scan(awkward).count() == 0 and license.scan(nothing).count() == 0
     df = spark.createDataFrame([(None, "x\nReleased under the MIT License.", "c")] * 2, "doc_id bigint, text string, license string")

@@ -4,11 +4,16 @@ Words are runs of letters and digits, lower-cased. The inverted index maps the h
 of every ``GRAM`` consecutive template words to its (template, position) entries. A
 document is winnowed: of every ``WINDOW`` neighbouring hashes the least is looked up,
 so any run of ``GRAM + WINDOW - 1`` words shared with a template is met. Hits of one
-template whose diagonals (document minus template position) lie within ``BAND`` and
-whose positions lie within a template's length form a candidate. A candidate is
-aligned inside a band around its diagonal: local alignment, +1 for an equal word,
--1 for a substitution or a gap. Candidates of one template are aligned together, one
-array step for each template word.
+template whose diagonals (document minus template position) lie within the template's
+band form a candidate; the band is ``BAND``, or for long templates one word in
+``DRIFT``. A candidate is aligned inside a band around its diagonal: local alignment,
++1 for an equal word, -1 for a substitution or a gap. Candidates of one template are
+aligned together, one array step for each template word.
+
+Two bounds that no alignment can exceed spare most candidates that work: the words that
+a document and a template have in common, each as often as in both, and the template
+words that stand anywhere in the candidate's band. A candidate goes if either is under
+``COVERAGE``, so what is reported stays the same.
 
 Reported are alignments that cover at least ``COVERAGE`` of the template's words.
 Where reported spans of a document overlap, the one with most matching words stays,
@@ -36,7 +41,10 @@ from .textops import PUNCTUATION, Words, chunks, flat, ngrams
 GRAM = 3
 WINDOW = 2
 BAND = 8
+DRIFT = 32
 COVERAGE = 0.75
+#: Cells of alignment tables that are held at once.
+CELLS = 1 << 22
 
 
 class Index:
@@ -54,6 +62,11 @@ class Index:
             grams.append(g)
             owner.append(np.full(len(g), k))
             place.append(np.arange(len(g)))
+        self.size = np.array([len(x) for x in self.words])
+        self.band = np.maximum(BAND, self.size // DRIFT)
+        self.vocabulary = np.unique(np.concatenate(self.words))
+        self.ids = [np.searchsorted(self.vocabulary, x) for x in self.words]
+        self.often = np.stack([np.bincount(x, minlength=len(self.vocabulary)) for x in self.ids])
         g = np.concatenate(grams)
         by = np.argsort(g, kind="stable")
         self.grams, self.owner, self.place = g[by], np.concatenate(owner)[by], np.concatenate(place)[by]
@@ -78,6 +91,23 @@ class Index:
         at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return np.repeat(chosen, n), self.owner[at], self.place[at]
 
+    def known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the words that any template holds, and their places in the vocabulary."""
+        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+        pos = np.flatnonzero(self.vocabulary[at] == h)
+        return pos, at[pos]
+
+    def possible(self, pos: np.ndarray, word: np.ndarray, doc: np.ndarray, row: np.ndarray, tem: np.ndarray) -> np.ndarray:
+        """Whether each (row, template) has enough words in common for an alignment to be reported."""
+        key, n = np.unique(doc[pos] * len(self.vocabulary) + word, return_counts=True)
+        owner, word = key // len(self.vocabulary), key % len(self.vocabulary)
+        ok = np.zeros(len(row), bool)
+        for k in np.unique(tem):
+            mine = np.flatnonzero(tem == k)
+            common = np.bincount(owner, np.minimum(n, self.often[k][word]), int(doc[-1]) + 1)
+            ok[mine] = common[row[mine]] >= COVERAGE * self.size[k]
+        return ok
+
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
         """(row, template, coverage, matched words, first word, end word, first char, end char) in order."""
         w = Words(data, offsets, PUNCTUATION)
@@ -85,21 +115,29 @@ class Index:
         pos, tem, place = self.hits(h, w.doc)
         if not len(pos):
             return []
+        at, word = self.known(h)
+        may = self.possible(at, word, w.doc, w.doc[pos], tem)
+        if not may.any():
+            return []
+        places = np.sort(word * np.int64(len(h) + 1) + at)
+        pos, tem, place = pos[may], tem[may], place[may]
         row, diagonal = w.doc[pos], pos - place
         by = np.lexsort((pos, diagonal, tem, row))
         pos, tem, row, diagonal = pos[by], tem[by], row[by], diagonal[by]
-        size = np.array([len(x) for x in self.words])
-        new = np.concatenate([[True], (row[1:] != row[:-1]) | (tem[1:] != tem[:-1]) | (diagonal[1:] - diagonal[:-1] > BAND // 2)])
+        band = self.band[tem]
+        new = np.concatenate([[True], (row[1:] != row[:-1]) | (tem[1:] != tem[:-1]) | (diagonal[1:] - diagonal[:-1] > band[1:] // 2)])
         head = np.flatnonzero(new)
         # a drifting cluster is cut so that its diagonals fit into one band
         lead = diagonal[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
-        piece = (diagonal - lead) // BAND
+        piece = (diagonal - lead) // band
         new |= np.concatenate([[True], piece[1:] != piece[:-1]])
         head = np.flatnonzero(new)
         found = []
         for k in np.unique(tem[head]):
             mine = head[tem[head] == k]
-            found += self._align(k, size[k], h, w, row[mine], diagonal[mine])
+            step = max(1, CELLS // (self.size[k] * (3 * self.band[k] + 1)))
+            for i in range(0, len(mine), step):
+                found += self._align(k, self.size[k], h, w, places, row[mine[i : i + step]], diagonal[mine[i : i + step]])
         found.sort(key=lambda x: (x[0], -x[3], -x[2], x[1], x[4]))
         out: list[tuple] = []
         for x in found:
@@ -112,11 +150,22 @@ class Index:
             done.append((r, k, c, m, int(a - base), int(b - base), int(chars[w.start[a]] - at), int(chars[w.end[b - 1]] - at)))
         return sorted(done, key=lambda x: (x[0], x[4]))
 
-    def _align(self, k: int, m: int, h: np.ndarray, w: Words, row: np.ndarray, diagonal: np.ndarray) -> list[tuple]:
+    def _align(self, k: int, m: int, h: np.ndarray, w: Words, places: np.ndarray, row: np.ndarray, diagonal: np.ndarray) -> list[tuple]:
         """Best local alignments of template k in bands around the diagonals."""
         t = self.words[k]
-        width = 3 * BAND + 1
-        left = diagonal - BAND  # column b of template word i is document word left + i + b
+        band = int(self.band[k])
+        width = 3 * band + 1
+        left = diagonal - band  # column b of template word i is document word left + i + b
+        near = np.zeros(len(row), np.int64)
+        for r in range(len(row)):
+            begin = left[r] + np.arange(m)
+            begin, end = np.maximum(begin, w.first[row[r]]), np.minimum(begin + width, w.first[row[r] + 1])
+            base = self.ids[k] * np.int64(len(h) + 1)
+            near[r] = np.count_nonzero(np.searchsorted(places, base + np.maximum(end, begin)) > np.searchsorted(places, base + begin))
+        may = near >= COVERAGE * m
+        row, diagonal, left = row[may], diagonal[may], left[may]
+        if not len(row):
+            return []
         n = len(row)
         score = np.zeros((m + 1, n, width), np.int16)
         lo, hi = w.first[row][:, None], w.first[row + 1][:, None]

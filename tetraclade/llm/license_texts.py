@@ -1,5 +1,7 @@
 """Templates for the license scan: (license, form, text)."""
 
+from .license_bodies import BODIES
+
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software
 and associated documentation files (the "Software"), to deal in the Software without restriction, including
 without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies
@@ -17,6 +19,8 @@ GPL = """This program is free software: you can redistribute it and/or modify it
 General Public License as published by the Free Software Foundation, either version {} of the License, or (at
 your option) any later version."""
 
+AGPL = GPL.replace("General", "Affero General")
+
 LGPL = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU
 Lesser General Public License as published by the Free Software Foundation; either version {} of the License,
 or (at your option) any later version."""
@@ -50,6 +54,7 @@ TEMPLATES: list[tuple[str, str, str]] = [
     ("GPL-3.0", "line", "This work is licensed under the GNU General Public License, version 3."),
     ("LGPL-2.1", "notice", LGPL.format("2.1")),
     ("LGPL-3.0", "notice", LGPL.format(3)),
+    ("AGPL-3.0", "notice", AGPL.format(3)),
     ("MPL-2.0", "notice", MPL),
     ("ISC", "text", ISC),
     ("Unlicense", "text", UNLICENSE),
@@ -61,4 +66,5 @@ TEMPLATES: list[tuple[str, str, str]] = [
     ("CC-BY-ND-4.0", "line", "Licensed under CC BY-ND 4.0."),
     ("CC-BY-4.0", "long", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC0-1.0", "line", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
+    *[(name, "full", text) for name, text in BODIES.items()],
 ]
