@@ -135,6 +135,24 @@ def test_random_letters_are_rejected(spark, documents):
     assert langid.language_filter(both).where("doc_id >= 1000000000").count() == 0
 
 
+def test_large_scripts_keep_all_letters():
+    rng = random.Random(31)
+    words = ["".join(chr(0x4E00 + rng.randint(0, 2999)) for _ in range(rng.randint(1, 3))) for _ in range(15000)]
+    write = lambda n: "".join(words[int(len(words) * rng.random())] + ("，" if rng.random() < 0.1 else "") for _ in range(n))
+    plain = "the quick brown fox jumps over the lazy dog and runs away from the big bad wolf in the dark forest " * 30
+    texts = {"zh": write(25_000), "en": plain}
+    m = langid.Model(texts)
+    assert m.width > 2500 and m.code[0x20000] == 0 and langid.Model({"x": chr(0x20000) + chr(0x30000)}).width == 4
+    new = [write(400) for _ in range(20)]
+    foreign = "".join(chr(0xAC00 + rng.randint(0, 9000)) for _ in range(500))
+    name, bits, _, _, keep = m.identify(pa.array([*new, plain[:500], foreign]))
+    assert list(name[:21]) == ["zh"] * 20 + ["en"] and keep[:21].all() and not keep[21]
+    assert bits[0].as_py() > langid.MAX_BITS  # clean texts of this script cost more than the level of small ones
+    phrases = m.phrases(*m.symbols(*langid.flat(pa.array([new[0][:300]]))))
+    clean = lambda t: re.sub("，", " ", t)
+    assert phrases[m.names.index("zh"), 0] == brute_phrases(clean(new[0][:300]), clean(texts["zh"])[: langid.REFERENCE_SYMBOLS])
+
+
 # near duplicates
 
 

@@ -7,7 +7,8 @@ symbols the cost is ``p * log2(N) / n`` bits a symbol. The language with the low
 cost wins, ties go to the alphabetically first.
 
 Text is normalised first: letters are lower-cased, every run of other characters
-is one space. Letters that no reference holds match nothing. The parse restarts
+is one space. All letters of the references have codes of their own; letters that no
+reference holds match nothing. The parse restarts
 every ``BLOCK`` symbols, so all blocks of all documents of a batch walk their automata
 in lockstep, one table look-up a symbol for all languages together.
 
@@ -18,7 +19,8 @@ characters of each and ``REFERENCE_SYMBOLS`` symbols a language, for at most
 
 Defined cases: null texts and texts without letters get language null, zero
 symbols, and are rejected, as are texts whose best cost, without the last and open
-phrase, exceeds ``MAX_BITS``. Rows
+phrase, exceeds the language's level: ``MAX_BITS``, or more where the reference's last
+quarter costs much against the rest of it. Rows
 with a null label take no part in the reference. Without any usable label every
 row gets null and the filter keeps nothing. Equal rows get equal results.
 """
@@ -43,6 +45,9 @@ MAX_LANGUAGES = 64
 #: Bits a symbol above which a text is in none of the languages. Texts in one of them
 #: cost 2 to 3, mixtures of two up to 5, random letters and foreign scripts over 10.
 MAX_BITS = 8.0
+#: A language whose own held-out text costs h bits and whose unknown letters cost u keeps texts up to h + LEVEL * (u - h)
+#: bits, if that is more: large scripts cost far more than 3. At h = 2.5 and u = 15.6 this is MAX_BITS.
+LEVEL = 0.42
 
 FIELDS = [
     T.StructField("lang_id", T.StringType()),
@@ -54,7 +59,7 @@ FIELDS = [
 
 _UNKNOWN, _GAP, _FIRST = 0, 1, 2
 _MISS = np.int32(-(1 << 31))
-_CODES = 0x30000  # code points above are treated as unknown letters
+_CODES = 0x110000
 
 
 def reference(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id") -> dict[str, str]:
@@ -95,7 +100,7 @@ _models: dict[bytes, Model] = {}
 
 
 class Model:
-    """Automata of all languages in one transition table."""
+    """Automata of all languages, the rows of their sparse transition tables displaced into each other."""
 
     def __init__(self, texts: dict[str, str]):
         self.names = sorted(texts)
@@ -107,30 +112,33 @@ class Model:
             folded.append(c[~((c == 1) & (np.concatenate([[1], c[:-1]]) == 1))][:REFERENCE_SYMBOLS])
         letters = np.unique(np.concatenate(folded)) if folded else np.zeros(0, np.uint32)
         letters = letters[letters != 1]
-        if len(letters) > 250:  # the table's alphabet is bounded: rarer letters match nothing
-            values, n = np.unique(np.concatenate(folded), return_counts=True)
-            n[values == 1] = 0
-            letters = np.sort(values[np.argsort(-n, kind="stable")[:250]])
         self.width = len(letters) + _FIRST
-        code = np.full(_CODES, _UNKNOWN, np.uint8)
+        code = np.full(_CODES, _UNKNOWN, np.int32)
         code[letters] = np.arange(_FIRST, self.width)
         code[1] = _GAP
         self.code = code[fold]
-        tables, self.start, self.log_n, base = [], [], [], 0
-        for c in folded:
-            t = _automaton(code[c].tolist(), self.width)
-            # one more state, for the start and for symbols that the reference lacks: any symbol begins a phrase there
-            t = np.concatenate([t, np.full((1, self.width), -1, np.int32)])
-            start = (base + len(t) - 1) * self.width
-            known = t >= 0
-            t = np.where(known, (t + base) * self.width, 0).astype(np.int32)
-            again = np.where(known[0], t[0], start).astype(np.int32) | _MISS
-            t = np.where(known, t, again[None, :])
-            tables.append(t.ravel())
+        langs = len(folded)
+        self.start, self.log_n, self.level = [], [], []
+        base, owner, target, again, states, cells = [], [], [], np.zeros((langs, self.width), np.int32), 0, 0
+        for j, c in enumerate(folded):
+            (state, symbol, to), n, held_out = _automaton(code[c].tolist())
+            at, size = _displace(state, symbol, n, self.width)
+            own, go = np.full(size, -1, np.int32), np.zeros(size, np.int32)
+            own[at[state] + symbol], go[at[state] + symbol] = state + states, to + states
+            # one more state, without transitions, for the start and for symbols that the reference lacks
+            start = states + n
+            again[j] = start | _MISS
+            root = state == 0
+            again[j, symbol[root]] = (to[root] + states) | _MISS
+            base.append(np.append(at, 0) + cells)
+            owner.append(own)
+            target.append(go)
             self.start.append(start)
             self.log_n.append(np.log2(max(2, len(c))))
-            base += len(known)
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+            self.level.append(max(MAX_BITS, held_out + LEVEL * (self.log_n[-1] - held_out)))
+            states, cells = start + 1, cells + size
+        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        self.base, self.owner, self.target, self.again = join(base), join(owner), join(target), again
 
     def symbols(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of the rows and their new offsets."""
@@ -161,11 +169,12 @@ class Model:
         active = np.searchsorted(-size, -np.arange(BLOCK), "left")  # blocks longer than each step
         state = np.repeat(np.array(self.start, np.int32)[:, None], len(rows), 1)
         misses = np.zeros(state.shape, np.int32)
-        padded = np.append(symbols, np.zeros(BLOCK, np.uint8))
+        padded = np.append(symbols, np.zeros(BLOCK, symbols.dtype))
         for i in range(int(size[0])):
             a = int(active[i])
-            at = state[:, :a] + padded[start[:a] + i]
-            v = self.table[at]
+            s = padded[start[:a] + i]
+            at = self.base[state[:, :a]] + s
+            v = np.where(self.owner[at] == state[:, :a], self.target[at], self.again[:, s])
             misses[:, :a] -= v >> 31
             state[:, :a] = v & 0x7FFFFFFF
         for j in range(langs):
@@ -196,15 +205,26 @@ class Model:
         name = np.array(self.names, object)[best]
         name[none] = None
         closed = low - np.array(self.log_n)[best] / np.maximum(1, count)  # the last phrase was cut short by the end of the text
-        return [name, pa.array(low, mask=none), pa.array(rest, mask=none), np.where(none, 0, count), ~none & (closed <= MAX_BITS)]
+        return [name, pa.array(low, mask=none), pa.array(rest, mask=none), np.where(none, 0, count), ~none & (closed <= np.array(self.level)[best])]
 
 
-def _automaton(text: list[int], width: int) -> np.ndarray:
-    """Transitions (states by symbols, -1 for none) of the suffix automaton of ``text``."""
+def _automaton(text: list[int]) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], int, float]:
+    """Transitions (state, symbol, next state) of the suffix automaton of ``text``, its states, and its held-out cost.
+
+    That is the bits a symbol of the last quarter against the automaton of the rest.
+    """
     nxt: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
-    for c in text:
+    held_out, cut = 0.0, len(text) * 3 // 4
+    for i, c in enumerate(text):
+        if i == cut:
+            n, s = 0, -1
+            for x in text[cut:]:
+                s = nxt[s].get(x, -1) if s >= 0 else -1
+                if s < 0:
+                    n, s = n + 1, nxt[0].get(x, -1)
+            held_out = n * np.log2(max(2, cut)) / (len(text) - cut)
         cur = len(nxt)
         nxt.append({})
         length.append(length[last] + 1)
@@ -227,12 +247,48 @@ def _automaton(text: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((len(nxt), width), -1, np.int32)
-    for s, d in enumerate(nxt):
-        for c, t in d.items():
-            if c:
-                table[s, c] = t
-    return table
+    flat_ = [(s, c, t) for s, d in enumerate(nxt) for c, t in d.items() if c]
+    t = np.array(flat_, np.int64).reshape(-1, 3)
+    return (t[:, 0], t[:, 1], t[:, 2]), len(nxt), float(held_out)
+
+
+def _displace(state: np.ndarray, symbol: np.ndarray, n: int, width: int) -> tuple[np.ndarray, int]:
+    """Start of each state's row in one array of cells where no two transitions share a cell, and the cells.
+
+    Every row may be read at all ``width`` symbols. States with several transitions
+    take the first free place from a moving point on; the others fill the gaps.
+    """
+    count = np.bincount(state, minlength=n)
+    first = np.searchsorted(state, np.arange(n + 1))
+    used = bytearray(2 * len(state) + 4 * width + 16)
+    at = np.zeros(n, np.int64)
+    symbols = symbol.tolist()
+    point = top = 0
+    for s in np.argsort(-count, kind="stable")[: np.count_nonzero(count > 1)].tolist():
+        own = symbols[first[s] : first[s + 1]]
+        p, tries = point, 0
+        while True:
+            if p + width >= len(used):
+                used += bytes(len(used))
+            for c in own:
+                if used[p + c]:
+                    break
+            else:
+                break
+            p, tries = p + 1, tries + 1
+        for c in own:
+            used[p + c] = 1
+        at[s] = p
+        top = max(top, p)
+        if tries > 32:
+            point += tries // 2  # what is left behind goes to states with one transition
+    one = np.flatnonzero(count == 1)
+    c = symbol[first[one]]
+    used += bytes(len(one) + width)
+    free = np.flatnonzero(np.frombuffer(used, np.uint8) == 0)
+    free = free[free >= width][: len(one)]  # so that no row begins before the first cell
+    at[one] = free - c
+    return at, int(max(top, at.max(initial=0))) + width
 
 
 def model(texts: dict[str, str]) -> Model:
