@@ -153,6 +153,13 @@ def test_large_scripts_keep_all_letters():
     assert phrases[m.names.index("zh"), 0] == brute_phrases(clean(new[0][:300]), clean(texts["zh"])[: langid.REFERENCE_SYMBOLS])
 
 
+def test_every_label_has_a_reference(spark):
+    rows = [(i, f"{chr(0x4E00 + i % 70)}{chr(0x5E00 + i % 70)} " * 20, f"l{i % 70:02}") for i in range(140)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert sorted(langid.reference(docs)) == [f"l{i:02}" for i in range(70)]
+    assert all(r["lang_id"] == f"l{r['doc_id'] % 70:02}" and r["keep"] for r in langid.identify(docs).collect())
+
+
 # near duplicates
 
 

@@ -14,8 +14,7 @@ in lockstep, one table look-up a symbol for all languages together.
 
 The reference is a bounded sample of labelled rows: at most ``DOCS_PER_LANGUAGE``
 documents (those with the smallest hash of their identifier), ``CHARS_PER_DOC``
-characters of each and ``REFERENCE_SYMBOLS`` symbols a language, for at most
-``MAX_LANGUAGES`` labels, the most frequent ones. Everything else reads whole texts.
+characters of each and ``REFERENCE_SYMBOLS`` symbols a language, for every label. Everything else reads whole texts.
 
 Defined cases: null texts and texts without letters get language null, zero
 symbols, and are rejected, as are texts whose best cost, without the last and open
@@ -41,7 +40,6 @@ BLOCK = 1024
 DOCS_PER_LANGUAGE = 64
 CHARS_PER_DOC = 2000
 REFERENCE_SYMBOLS = 50_000
-MAX_LANGUAGES = 64
 #: Bits a symbol above which a text is in none of the languages. Texts in one of them
 #: cost 2 to 3, mixtures of two up to 5, random letters and foreign scripts over 10.
 MAX_BITS = 8.0
@@ -65,18 +63,8 @@ _CODES = 0x110000
 def reference(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id") -> dict[str, str]:
     """Reference text of each label: the bounded sample described above."""
     label, text = F.col(f"`{label_col}`").cast("string"), F.col(f"`{text_col}`")
-    labels = (
-        docs.where(label.isNotNull()).groupBy(label.alias("l")).count()
-        .orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect()
-    )
-    if not labels:
-        return {}
-    # a cheap hash filter leaves some 8 times the documents wanted (all of a rare label), then the smallest hashes win
-    share = F.create_map(*[F.lit(x) for r in labels for x in (r["l"], min(1.0, 8 * DOCS_PER_LANGUAGE / r["count"]))])
     h = F.xxhash64(F.col(f"`{id_col}`"), F.lit("langid"))
-    few = docs.select(label.alias("l"), h.alias("h"), F.substring(text, 1, CHARS_PER_DOC).alias("t")).where(
-        F.col("l").isin([r["l"] for r in labels]) & (F.col("t") != "") & (F.pmod("h", F.lit(1 << 30)) < share[F.col("l")] * float(1 << 30))
-    )
+    few = docs.select(label.alias("l"), h.alias("h"), F.substring(text, 1, CHARS_PER_DOC).alias("t")).where(F.col("l").isNotNull() & (F.col("t") != ""))
     rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
     rows = few.withColumn("r", rank).where(F.col("r") <= DOCS_PER_LANGUAGE).collect()
     out: dict[str, list] = {}
