@@ -160,6 +160,13 @@ def test_every_label_has_a_reference(spark):
     assert all(r["lang_id"] == f"l{r['doc_id'] % 70:02}" and r["keep"] for r in langid.identify(docs).collect())
 
 
+def test_reference_without_identifiers(spark):
+    rows = [(None, f"{'abcdefghij'[i % 10]} text number {i}", "en") for i in range(600)]
+    texts = langid.reference(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))["en"].split("\n")
+    # a sample of all the texts, not the first ones in their order
+    assert len(texts) == langid.DOCS_PER_LANGUAGE and len({t[0] for t in texts}) > 5
+
+
 # near duplicates
 
 

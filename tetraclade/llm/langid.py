@@ -13,7 +13,7 @@ every ``BLOCK`` symbols, so all blocks of all documents of a batch walk their au
 in lockstep, one table look-up a symbol for all languages together.
 
 The reference is a bounded sample of labelled rows: at most ``DOCS_PER_LANGUAGE``
-documents (those with the smallest hash of their identifier), ``CHARS_PER_DOC``
+documents (those with the smallest hash of identifier and text), ``CHARS_PER_DOC``
 characters of each and ``REFERENCE_SYMBOLS`` symbols a language, for every label. Everything else reads whole texts.
 
 Defined cases: null texts and texts without letters get language null, zero
@@ -63,8 +63,9 @@ _CODES = 0x110000
 def reference(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id") -> dict[str, str]:
     """Reference text of each label: the bounded sample described above."""
     label, text = F.col(f"`{label_col}`").cast("string"), F.col(f"`{text_col}`")
-    h = F.xxhash64(F.col(f"`{id_col}`"), F.lit("langid"))
-    few = docs.select(label.alias("l"), h.alias("h"), F.substring(text, 1, CHARS_PER_DOC).alias("t")).where(F.col("l").isNotNull() & (F.col("t") != ""))
+    start = F.substring(text, 1, CHARS_PER_DOC)
+    h = F.xxhash64(F.col(f"`{id_col}`"), start, F.lit("langid"))
+    few = docs.select(label.alias("l"), h.alias("h"), start.alias("t")).where(F.col("l").isNotNull() & (F.col("t") != ""))
     rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
     rows = few.withColumn("r", rank).where(F.col("r") <= DOCS_PER_LANGUAGE).collect()
     out: dict[str, list] = {}
