@@ -151,14 +151,13 @@ def map_text(df: DataFrame, keep: list[str], text: str, compute: Callable, field
 
     ``compute`` takes an Arrow string array and returns one Arrow array or numpy
     array for each of ``fields``. Narrow: no shuffle, and only ``keep`` and ``text``
-    are read. A kept column whose name is one of the new ones is not carried.
+    are read. A kept column whose name is one of the new ones, whatever the case, gets
+    underscores behind its name.
     """
     ship(df.sparkSession)
-    new = {f.name for f in fields}
-    keep = [c for c in keep if c not in new]
-    schema = T.StructType([df.schema[c] for c in keep] + list(fields))
+    own = fresh([f.name for f in fields], *keep)
+    schema = T.StructType([T.StructField(n, df.schema[c].dataType) for n, c in zip(own, keep)] + list(fields))
     types, names = _arrow_types(fields), schema.names
-    (own,) = fresh(keep, "__text")
 
     def run(batches):
         for batch in batches:
@@ -167,7 +166,7 @@ def map_text(df: DataFrame, keep: list[str], text: str, compute: Callable, field
                 made = [a if isinstance(a, pa.Array) else pa.array(a, type=t) for a, t in zip(made, types)]
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + made, names=names)
 
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(own)).mapInArrow(run, schema)
+    return plain(df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`"))).mapInArrow(run, schema)
 
 
 def filter_text(df: DataFrame, text: str, predicate: Callable) -> DataFrame:
@@ -180,7 +179,12 @@ def filter_text(df: DataFrame, text: str, predicate: Callable) -> DataFrame:
             if batch.num_rows:
                 yield batch.filter(pa.array(np.asarray(predicate(batch.column(at)), bool)))
 
-    return df.mapInArrow(run, df.schema)
+    return plain(df).mapInArrow(run, df.schema)
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """``df`` with numbers for names; mapInArrow takes no names with dots, nor two that are the same."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
 def _arrow_types(fields: list[T.StructField]) -> list[pa.DataType]:
