@@ -8,9 +8,13 @@ cost wins, ties go to the alphabetically first.
 
 Text is normalised first: letters are lower-cased, every run of other characters
 is one space. All letters of the references have codes of their own; letters that no
-reference holds match nothing. The parse restarts
-every ``BLOCK`` symbols, so all blocks of all documents of a batch walk their automata
-in lockstep, one table look-up a symbol for all languages together.
+reference holds match nothing. The parse runs through the whole text, however long.
+To walk their automata in lockstep, one table look-up a symbol for all languages
+together, texts are cut into blocks of ``BLOCK`` symbols, each parsed as if a phrase
+began there. Then every block is parsed again from the state in which the block
+before ended, until it is in the state that it was in at the same place the first
+time; from there on both parses are the same. Blocks whose last state changed hand it
+on, until none does, so the phrases are those of the parse without blocks.
 
 The reference is a bounded sample of labelled rows: at most ``DOCS_PER_LANGUAGE``
 documents (those with the smallest hash of identifier and text), ``CHARS_PER_DOC``
@@ -21,7 +25,9 @@ symbols, and are rejected, as are texts whose best cost, without the last and op
 phrase, exceeds the language's level: ``MAX_BITS``, or more where the reference's last
 quarter costs much against the rest of it. Rows
 with a null label take no part in the reference. Without any usable label every
-row gets null and the filter keeps nothing. Equal rows get equal results.
+row gets null and the filter keeps nothing. Equal rows get equal results. A very long
+text is walked ``GROUP`` blocks at a time. An identifier named like a result gets
+underscores behind its name.
 """
 
 from __future__ import annotations
@@ -37,6 +43,8 @@ from pyspark.sql import types as T
 from .textops import chunks, filter_text, flat, map_text
 
 BLOCK = 1024
+#: Cells (blocks times languages) whose states are held at once.
+GROUP = 16_384
 DOCS_PER_LANGUAGE = 64
 CHARS_PER_DOC = 2000
 REFERENCE_SYMBOLS = 50_000
@@ -149,27 +157,78 @@ class Model:
         k = np.arange(len(rows)) - np.searchsorted(rows, rows)
         start = offsets[rows] + k * BLOCK
         size = np.minimum(BLOCK, offsets[rows + 1] - start)
-        order = np.argsort(-size, kind="stable")
-        start, size, rows = start[order], size[order], rows[order]
-        langs = len(self.names)
-        out = np.zeros((langs, len(n)))
-        if not len(rows):
-            return out
-        active = np.searchsorted(-size, -np.arange(BLOCK), "left")  # blocks longer than each step
-        state = np.repeat(np.array(self.start, np.int32)[:, None], len(rows), 1)
-        misses = np.zeros(state.shape, np.int32)
+        out = np.zeros((len(self.names), len(n)))
         padded = np.append(symbols, np.zeros(BLOCK, symbols.dtype))
-        for i in range(int(size[0])):
-            a = int(active[i])
-            s = padded[start[:a] + i]
-            at = self.base[state[:, :a]] + s
-            v = np.where(self.owner[at] == state[:, :a], self.target[at], self.again[:, s])
-            misses[:, :a] -= v >> 31
-            state[:, :a] = v & 0x7FFFFFFF
-        for j in range(langs):
-            out[j] = np.bincount(rows, misses[j], len(n))
+        state = None  # in which the last block of the group before ended
+        step = max(1, GROUP // max(1, len(self.names)))
+        for a in range(0, len(rows), step):
+            z = min(a + step, len(rows))
+            count, state = self._group(padded, start[a:z], size[a:z], k[a:z] > 0, state)
+            for j in range(len(self.names)):
+                out[j] += np.bincount(rows[a:z], count[j], len(n))
         return out
 
+    def _group(self, padded: np.ndarray, start: np.ndarray, size: np.ndarray, goes_on: np.ndarray, state: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases of neighbouring blocks (second axis) against each language, and each language's last state.
+
+        ``goes_on``: whether a block continues the text of the one before, for the first
+        from ``state``.
+        """
+        langs, blocks = len(self.names), len(start)
+        order = np.argsort(-size, kind="stable")
+        first, length = start[order], size[order]
+        active = np.searchsorted(-length, -np.arange(BLOCK), "left")  # blocks longer than each step
+        now = np.repeat(np.array(self.start, np.int32)[:, None], blocks, 1)
+        misses = np.zeros(now.shape, np.int16)
+        states = np.empty((int(length[0]), langs, blocks), np.int32)
+        so_far = np.empty((int(length[0]), langs, blocks), np.int16)
+        for i in range(int(length[0])):
+            a = int(active[i])
+            s = padded[first[:a] + i]
+            at = self.base[now[:, :a]] + s
+            v = np.where(self.owner[at] == now[:, :a], self.target[at], self.again[:, s])
+            misses[:, :a] += v < 0
+            np.bitwise_and(v, 0x7FFFFFFF, out=now[:, :a])
+            states[i, :, :a], so_far[i, :, :a] = now[:, :a], misses[:, :a]
+        place = np.empty(blocks, np.int64)
+        place[order] = np.arange(blocks)
+        alone = misses[:, place].astype(np.int64)
+        count, last = alone.copy(), now[:, place]
+        # cells whose entry isn't the start that they were parsed from
+        lane, block = np.nonzero(np.broadcast_to(goes_on, (langs, blocks)))
+        entry = np.where(block > 0, last[lane, block - 1], state[lane] if state is not None else 0)
+        while len(lane):
+            at_row, now, n = place[block], entry.copy(), np.zeros(len(lane), np.int64)
+            new_count, new_last = alone[lane, block], entry.copy()
+            live = np.arange(len(lane))
+            i = 0
+            while len(live):
+                s = padded[start[block[live]] + i]
+                at = self.base[now[live]] + s
+                v = np.where(self.owner[at] == now[live], self.target[at], self.again[lane[live], s])
+                n[live] -= v >> 31
+                now[live] = v & 0x7FFFFFFF
+                met = now[live] == states[i, lane[live], at_row[live]]
+                done = live[met]
+                new_count[done] = n[done] + alone[lane[done], block[done]] - so_far[i, lane[done], at_row[done]]
+                new_last[done] = states[size[block[done]] - 1, lane[done], at_row[done]]
+                live = live[~met]
+                i += 1
+                over = size[block[live]] == i
+                done = live[over]
+                new_count[done], new_last[done] = n[done], now[done]
+                live = live[~over]
+            count[lane, block] = new_count
+            changed = last[lane, block] != new_last
+            last[lane, block] = new_last
+            lane, block = lane[changed], block[changed] + 1
+            on = block < blocks
+            lane, block = lane[on], block[on]
+            on = goes_on[block]
+            lane, block = lane[on], block[on]
+            entry = last[lane, block - 1]
+        return count, last[:, -1]
+
     def bits(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cost of each row against each language, its symbols, its letters."""
         data, offsets = flat(column)
