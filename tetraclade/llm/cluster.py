@@ -27,28 +27,50 @@ def _folder(spark: SparkSession) -> None:
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
-def runs(batches: Iterator[pa.RecordBatch], key: Callable[[pa.Table], np.ndarray], rows: int = 20_000, whole: bool = True) -> Iterator[pa.Table]:
-    """Tables of some ``rows`` rows or more that never split a run of equal keys.
+def runs(batches: Iterator[pa.RecordBatch], key: Callable[[pa.Table], np.ndarray], rows: int = 20_000, most: int = 20_000) -> Iterator[tuple[pa.Table, int | None]]:
+    """(table, part) of a stream that is sorted by the key.
 
-    The input is sorted by the key; only the rows of the tables being built are held.
+    Tables of some ``rows`` rows never split a run of equal keys and have part None. A
+    run that has come to ``most`` rows by the end of a batch comes alone, in numbered
+    parts of ``most`` rows and up to a batch more, so what is held doesn't grow with it.
     """
-    held: list[pa.RecordBatch] = []
-    n = 0
+    done: list[pa.RecordBatch] = []
+    open_: list[pa.RecordBatch] = []  # rows of the last key
+    last, part = None, None
+    size = lambda x: sum(b.num_rows for b in x)
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append(batch)
-        n += batch.num_rows
-        if n < rows:
-            continue
         k = key(pa.Table.from_batches([batch]))
-        cut = int(np.flatnonzero(k != k[-1])[-1]) + 1 if (k != k[-1]).any() else 0
-        if cut:
-            yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
-            held = [batch.slice(cut)]
-            n = held[0].num_rows
-    if held:
-        yield pa.Table.from_batches(held)
+        change = np.flatnonzero(k[1:] != k[:-1]) + 1
+        end = int(change[-1]) if len(change) else 0
+        if last is not None and k[0] == last:
+            lead = int(change[0]) if len(change) else len(k)
+            open_.append(batch.slice(0, lead))
+        else:
+            lead = 0
+        if lead < len(k):
+            if part is None:
+                done += open_
+            elif open_:
+                yield pa.Table.from_batches(open_), part + 1
+            if lead < end:
+                done.append(batch.slice(lead, end - lead))
+            open_, part, last = [batch.slice(max(lead, end))], None, k[-1]
+        if size(open_) >= most:
+            part = 0 if part is None else part + 1
+            yield pa.Table.from_batches(open_), part
+            open_ = []
+        if size(done) >= rows:
+            yield pa.Table.from_batches(done), None
+            done = []
+    if part is None:
+        done += open_
+    elif open_:
+        yield pa.Table.from_batches(open_), part + 1
+    if done:
+        yield pa.Table.from_batches(done), None
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -11,7 +11,9 @@ equal signatures are one node first, so exact copies cost nothing further. A ban
 rows meet sorted in one stream; inside a bucket a breadth-first search joins every
 pair whose estimate reaches ``THRESHOLD`` and never compares a row again that was
 reached, so a bucket of n copies of one text costs n comparisons and no candidate
-is left out. Groups are the connected components over all bands.
+is left out. A bucket of ``PART`` rows or more comes in parts of that size; each is
+searched by itself and then compared with every other part in a task of its own, so
+no worker holds a whole bucket. Groups are the connected components over all bands.
 
 At a true similarity of 0.6 a pair meets in a band with probability 0.988, of 0.7 with
 0.9998. The estimate's standard deviation is about 0.05, so single pairs close to the
@@ -42,6 +44,8 @@ BANDS = 32
 BITS = 2
 SHINGLE = 2
 THRESHOLD = 0.6
+#: Rows of a bucket that are compared in one task.
+PART = 4096
 
 _C = 2.0**-BITS
 _WORDS = HASHES // 64
@@ -137,13 +141,24 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_text(rows, ["id", "h"], "text", _sketch, fields)
 
 
+def _packed(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Signatures of a column without nulls as rows of 64-bit words."""
+    x = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    width = BITS * HASHES // 8
+    data = np.frombuffer(x.buffers()[2], np.uint8)
+    first = int(np.frombuffer(x.buffers()[1], np.int32)[x.offset])
+    return data[first : first + len(x) * width].view(np.uint64).reshape(len(x), -1)
+
+
 def _bucket_edges(batches, threshold: float):
-    for t in runs(batches, lambda t: t["band"].to_numpy()):
+    """Edges of each bucket, and the parts of those that come in parts."""
+    kind = None
+    for t, part in runs(batches, lambda t: t["band"].to_numpy(), most=PART):
         key = t["band"].to_numpy()
         new = np.concatenate([[True], key[1:] != key[:-1]])
         start = np.flatnonzero(new)
         size = np.diff(np.append(start, len(key)))
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint64).reshape(len(key), -1)
+        sig = _packed(t["sig"])
         two = start[size == 2]
         two = two[agreement(sig[two], sig[two + 1]) >= threshold]
         left, right = [two], [two + 1]
@@ -160,25 +175,72 @@ def _bucket_edges(batches, threshold: float):
                     queue.extend(found)
         left, right = np.concatenate(left), np.concatenate(right)
         node = t["node"].combine_chunks()
+        kind = node.type
         if len(left):
-            yield pa.RecordBatch.from_arrays([node.take(pa.array(left)), node.take(pa.array(right))], names=["a", "b"])
+            n = len(left)
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(left)), node.take(pa.array(right)), *(pa.nulls(n, k) for k in (pa.int64(), pa.int32(), pa.binary()))], names=_EDGE)
+        if part is not None:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, pa.schema([("node", kind), ("sig", pa.binary())])) as w:
+                w.write_table(pa.table({"node": node, "sig": t["sig"].combine_chunks().cast(pa.binary())}))
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, kind), pa.array([key[0]]), pa.array([part], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=_EDGE)
+
+
+_EDGE = ["a", "b", "band", "part", "rows"]
+
+
+def _part_edges(batches, threshold: float):
+    """Edges between two parts of a bucket that join all rows which any pairs of theirs join."""
+    for batch in batches:
+        for x, y in zip(batch.column(0), batch.column(1)):
+            x, y = (pa.ipc.open_stream(v.as_py()).read_all() for v in (x, y))
+            a, b = _packed(x["sig"]), _packed(y["sig"])
+            group = np.full(len(b), -1)  # of the rows of y that something has reached
+            left, right = [], []
+            for i in range(len(a)):
+                hit = np.flatnonzero(agreement(b, a[i]) >= threshold)
+                if not len(hit):
+                    continue
+                known, one = np.unique(group[hit], return_index=True)
+                new = hit[group[hit] < 0]
+                link = np.concatenate([new, hit[one[known >= 0]]])
+                left.append(np.full(len(link), i))
+                right.append(link)
+                group[np.isin(group, known[known >= 0])] = i
+                group[new] = i
+            if left:
+                n, m = x["node"].combine_chunks(), y["node"].combine_chunks()
+                yield pa.RecordBatch.from_arrays([n.take(pa.array(np.concatenate(left))), m.take(pa.array(np.concatenate(right)))], names=["a", "b"])
+
+
+def bucket_edges(met: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b)`` of all buckets of ``(band, node, sig)``, whose rows are sorted by band in each partition."""
+    kind = met.schema["node"].dataType
+    pair = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    schema = T.StructType([*pair, T.StructField("band", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("rows", T.BinaryType())])
+    found = checkpoint(met.mapInArrow(lambda batches: _bucket_edges(batches, threshold), schema))
+    parts = found.where("rows is not null").select("band", "part", "rows")
+    x, y = parts.alias("x"), parts.alias("y")
+    both = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.part") < F.col("y.part"))).select(F.col("x.rows").alias("x"), F.col("y.rows").alias("y"))
+    return found.where("rows is null").select("a", "b").union(both.mapInArrow(lambda batches: _part_edges(batches, threshold), pair))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float | None = None) -> DataFrame:
     """``(id, h, sig, root, root_sig)`` of every row; the root is the group's least (id, h)."""
     node = F.struct("id", "h")
-    # the sketches of the table are read three times: once written, the text is hashed once
+    # the sketches of the table are read twice: once written, the text is hashed once
     all_rows = checkpoint(sketches(docs, id_col, text_col))
-    same = all_rows.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min(node).alias("node"), F.min_by("bands", node).alias("bands"))
+    same = all_rows.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min(node).alias("node"), F.min_by("bands", node).alias("bands"), (F.count("*") > 1).alias("many"))
     same = checkpoint(same)
     met = same.select(F.explode("bands").alias("band"), "node", "sig").repartition("band").sortWithinPartitions("band")
-    kind = same.schema["node"].dataType
-    reach = THRESHOLD if threshold is None else threshold
-    edges = met.mapInArrow(lambda batches: _bucket_edges(batches, reach), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
-    roots = components(edges)
-    named = same.select("sig", "node").join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("root"))
-    named = named.join(same.select(F.col("node").alias("root"), F.col("sig").alias("root_sig")), "root", "left")
-    return all_rows.select("id", "h", "sig").join(named, "sig", "left").withColumn("root", F.coalesce("root", node))
+    roots = components(bucket_edges(met, THRESHOLD if threshold is None else threshold))
+    # only signatures of several rows or with edges go on; all others are groups of their own
+    named = same.select("sig", "node", "many").join(roots, "node", "left").where("many or root is not null").select("sig", "node", F.coalesce("root", "node").alias("root"))
+    named = checkpoint(named)
+    named = named.select("sig", "root").join(named.select(F.col("node").alias("root"), F.col("sig").alias("root_sig")), "root").select("sig", "root", "root_sig")
+    joined = all_rows.select("id", "h", "sig").where("sig is not null").join(named, "sig", "left")
+    joined = joined.unionByName(all_rows.where("sig is null").select("id", "h", "sig"), allowMissingColumns=True)
+    return joined.select("id", "h", "sig", F.coalesce("root", node).alias("root"), F.coalesce("root_sig", "sig").alias("root_sig"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
