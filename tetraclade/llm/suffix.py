@@ -12,19 +12,24 @@ repeated if the same words stand earlier: in a document with a smaller (identifi
 text hash), or earlier in the same document. Every word inside a repeated passage is
 reported, the first occurrence never is. The steps, all sharded:
 
-1. Anchors: of the ``WINDOW`` hashes of ``GRAM`` words inside a passage of ``LENGTH``
+1. Passages that stand earlier in the same document are found by their hashes where
+   the document is; the first of them stands for all in what follows.
+2. Anchors: of the ``WINDOW`` hashes of ``GRAM`` words inside a passage of ``LENGTH``
    words the least is its anchor. Copies of a passage have their anchors at the same
    place, so nothing is lost. Only (hash, document, position) moves.
-2. Anchors whose hash occurs once are dropped in a sorted stream. Documents that
-   keep some are read again, and cut into pieces: the passages of each such anchor,
-   which follow each other. Every passage is in exactly one piece.
-3. Pieces meet by anchor hash. Equal pieces follow each other in the sorted stream
+3. Anchors whose hash occurs once are dropped in a sorted stream that holds one row.
+   Documents that keep some are read again, and cut into pieces: the passages of each
+   such anchor, which follow each other. Every passage is in exactly one piece.
+4. Pieces meet by anchor hash. Equal pieces follow each other in the sorted stream
    and only the first is held; each shard's pieces go through the suffix array, and
    neighbours with a common prefix of ``LENGTH`` words are occurrences of one passage.
+   An anchor with more than ``HOT`` different pieces hands its passages on, by hashes of
+   128 bits, to a sorted stream that holds the first occurrence of each.
 
 Defined cases: null, empty and shorter texts have no passages; equal rows (same
 identifier and text) are one document and none of them is reported for the other;
-a null identifier counts as the least. An empty table gives an empty table.
+a null identifier counts as the least. A very long text is held with some 100 bytes a
+word. An empty table gives an empty table.
 Columns besides identifier and text are not read by :func:`repeated_spans`, and are
 carried by :func:`drop_repeats`.
 """
@@ -41,7 +46,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .cluster import checkpoint, runs
-from .textops import Words, chunks, flat, fresh, map_text, ngrams
+from .quality import later
+from .textops import Words, chunks, flat, fresh, map_text, mix64, ngrams, plain
 
 LENGTH = 50
 GRAM = 10
@@ -53,6 +59,10 @@ COVER = np.array([0, 1, 3, 11, 17, 24, 29])
 BUCKET = 1 << 18
 #: Words of pieces that one suffix array holds.
 SHARD_WORDS = 1 << 20
+#: Different pieces of one anchor that one suffix array holds.
+HOT = 1 << 15
+#: Rows of pieces that leave a document at once.
+ROWS = 1 << 15
 
 _SHIFT = np.full((PERIOD, PERIOD), -1)
 for _a in range(PERIOD):
@@ -193,20 +203,29 @@ def _least(v: np.ndarray) -> np.ndarray:
     return at
 
 
-def _anchor_positions(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _passages(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the passages that stand for themselves, and of those that stand earlier in their row."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    start = np.flatnonzero(row[: max(0, len(row) - LENGTH + 1)] == row[LENGTH - 1 :]) if len(row) >= LENGTH else np.zeros(0, np.int64)
+    if not len(start):
+        return start, start
+    again = later(ngrams(h, LENGTH)[start] ^ mix64(row[start].astype(np.uint64)))
+    new = np.ones(len(start), bool)
+    new[again] = False
+    return start[new], start[~new]
+
+
+def _anchor_positions(h: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word positions of anchors, their hashes, and the first and last passage each stands for.
 
-    ``first``: where each row's words begin. Every passage of LENGTH words belongs to
-    exactly one anchor, the least hash inside it.
+    ``start``: first words of passages. Every one of them belongs to exactly one
+    anchor, the least hash inside it.
     """
     g = ngrams(h, GRAM)
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    start = np.flatnonzero(row[: max(0, len(row) - LENGTH + 1)] == row[LENGTH - 1 :]) if len(row) >= LENGTH else np.zeros(0, np.int64)
     if not len(start):
         return start, g[:0], start, start
     owner = _least(g)[start]
-    new = np.concatenate([[True], owner[1:] != owner[:-1]])
-    head = np.flatnonzero(new)
+    head = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     at = owner[head]
     return at, g[at], start[head], start[np.append(head[1:], len(start)) - 1]
 
@@ -220,12 +239,21 @@ def _anchors(column: pa.Array) -> list:
     total = 0
     for a, b in chunks(offsets):
         w = Words(data, offsets[a : b + 1])
-        p, g, _, _ = _anchor_positions(w.hashes(), w.first)
+        h = w.hashes()
+        start, again = _passages(h, w.first)
+        p, g, _, _ = _anchor_positions(h, start)
         row = np.searchsorted(w.first, p, "right") - 1
+        place = p - w.first[row]
+        if len(again):  # a row that repeats itself says so at place -1
+            own = np.searchsorted(w.first, again, "right") - 1
+            one = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            row, g, place = np.concatenate([row, own[one]]), np.concatenate([g, h[again[one]]]), np.concatenate([place, np.full(len(one), -1)])
+            by = np.argsort(row, kind="stable")
+            row, g, place = row[by], g[by], place[by]
         grams.append(g)
-        at.append(p - w.first[row])
+        at.append(place)
         cuts.append(total + np.searchsorted(row, np.arange(b - a), "right"))
-        total += len(p)
+        total += len(g)
     cut = pa.array(np.concatenate(cuts).astype(np.int32))
     return [
         pa.ListArray.from_arrays(cut, pa.array(np.concatenate(grams).view(np.int64))),
@@ -234,99 +262,215 @@ def _anchors(column: pa.Array) -> list:
 
 
 def _twice(batches):
-    """Rows of the sorted stream whose key stands in the stream again."""
-    for t in runs(batches, lambda t: t["gram"].to_numpy()):
-        k = t["gram"].to_numpy()
-        same = np.zeros(len(k) + 1, bool)
-        same[1:-1] = k[1:] == k[:-1]
-        for b in t.filter(pa.array(same[1:] | same[:-1])).to_batches():
-            yield b
+    """Rows of the sorted stream whose key stands in the stream again, and those at place -1."""
+    held = None  # the last row, and whether it goes on already
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lead = 0
+        if held is not None:
+            batch = pa.Table.from_batches([held[0], batch]).combine_chunks().to_batches()[0]
+            lead = 1
+        k, place = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        same = (k[1:] == k[:-1]) & (place[1:] >= 0) & (place[:-1] >= 0)
+        keep = place < 0
+        keep[1:] |= same
+        keep[:-1] |= same
+        if lead:
+            keep[0] &= not held[1]  # what was sent is not sent again
+        sent = bool(keep[-1]) if len(k) > lead else held[1]
+        held = batch.slice(len(k) - 1), sent
+        if keep.any():
+            yield batch.filter(pa.array(keep))
+
+
+def _spans_of(start: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, begin, end) of the words under passages that begin at ``start``."""
+    head = np.flatnonzero(np.concatenate([[True], (start[1:] - start[:-1] > LENGTH) | (row[1:] != row[:-1])]))
+    return row[head], start[head], start[np.append(head[1:], len(start)) - 1] + LENGTH
+
+
+_PIECE = ["gram", "piece", "node", "lo", "anchor"]
 
 
 def _cut(batches):
-    """Pieces around the anchors of each document: the word hashes of the passages each stands for."""
+    """Pieces around the anchors of each document: the word hashes of the passages each stands for.
+
+    Words under passages that stand earlier in their document come as rows without a
+    piece, from ``lo`` up to ``anchor``.
+    """
     for batch in batches:
         t = pa.Table.from_batches([batch])
         data, offsets = flat(t["text"])
         for a, b in chunks(offsets):
             w = Words(data, offsets[a : b + 1])
             full = w.hashes()
-            anchors, _, low, high = _anchor_positions(full, w.first)
+            start, again = _passages(full, w.first)
+            anchors, _, low, high = _anchor_positions(full, start)
             h = np.maximum((full >> np.uint64(32)).astype(np.uint32), 1)
             part = t.slice(a, b - a).combine_chunks()
+            nodes = part["node"].combine_chunks()
+            if len(again):
+                own, begin, end = _spans_of(again, np.searchsorted(w.first, again, "right") - 1)
+                key = pa.array(mix64(own.astype(np.uint64)).view(np.int64))
+                base = w.first[own]
+                yield pa.RecordBatch.from_arrays([key, pa.nulls(len(own), pa.binary()), nodes.take(pa.array(own)), pa.array((begin - base).astype(np.int32)), pa.array((end - base).astype(np.int32))], names=_PIECE)
             lists = part["marks"].combine_chunks()
-            n = np.diff(lists.offsets.to_numpy())
-            row = np.repeat(np.arange(b - a), n)
+            row = np.repeat(np.arange(b - a), np.diff(lists.offsets.to_numpy()))
             inner = lists.flatten()
-            gram, pos = inner.field(0), inner.field(1).to_numpy().astype(np.int64)
-            centre = w.first[row] + pos
-            which = np.searchsorted(anchors, centre)
-            lo, hi = low[which], high[which] + LENGTH
-            size = hi - lo
-            cut = np.concatenate([[0], np.cumsum(size)])
-            words = h[np.repeat(lo - cut[:-1], size) + np.arange(cut[-1])]
-            piece = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((cut * 4).astype(np.int32)), pa.py_buffer(words.tobytes())])
-            key = part["node"].combine_chunks().take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([gram, piece, key, pa.array((lo - w.first[row]).astype(np.int32)), pa.array((centre - lo).astype(np.int32))], names=["gram", "piece", "node", "lo", "anchor"])
+            grams, pos = inner.field(0).to_numpy(), inner.field(1).to_numpy().astype(np.int64)
+            real = pos >= 0
+            row, grams, pos = row[real], grams[real], pos[real]
+            for i in range(0, len(row), ROWS):
+                r = row[i : i + ROWS]
+                centre = w.first[r] + pos[i : i + ROWS]
+                which = np.searchsorted(anchors, centre)
+                lo, hi = low[which], high[which] + LENGTH
+                size = hi - lo
+                cut = np.concatenate([[0], np.cumsum(size)])
+                words = h[np.repeat(lo - cut[:-1], size) + np.arange(cut[-1])]
+                piece = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((cut * 4).astype(np.int32)), pa.py_buffer(words.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(grams[i : i + ROWS]), piece, nodes.take(pa.array(r)), pa.array((lo - w.first[r]).astype(np.int32)), pa.array((centre - lo).astype(np.int32))], names=_PIECE)
+
+
+_SPAN = ["node", "a", "b", "p", "q"]
+
+
+def _span_batch(node: pa.Array, a: np.ndarray, b: np.ndarray, p: np.ndarray | None = None, q: np.ndarray | None = None) -> pa.RecordBatch:
+    n = len(a)
+    hashes = [pa.nulls(n, pa.int64()) if x is None else pa.array(x.view(np.int64)) for x in (p, q)]
+    return pa.RecordBatch.from_arrays([node, pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *hashes], names=_SPAN)
+
+
+def _equal(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """Where two columns agree; nulls agree."""
+    same = pa.compute.fill_null(pa.compute.equal(x, y), False).to_numpy(zero_copy_only=False)
+    return same | (x.is_null().to_numpy(zero_copy_only=False) & y.is_null().to_numpy(zero_copy_only=False))
+
+
+def _first_pieces(batches, out: list):
+    """The first of each run of equal pieces; spans of the others, and rows without a piece, go to ``out``."""
+    held = None  # the first row of the last run
+    for batch in batches:
+        own = batch.column(1).is_null()
+        if own.true_count:
+            plain = batch.filter(own)
+            out.append(_span_batch(plain.column(2), plain.column(3).to_numpy(), plain.column(4).to_numpy()))
+            batch = batch.filter(pa.compute.invert(own))
+        if not batch.num_rows:
+            continue
+        lead = held is not None
+        if lead:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        gram, piece, node, lo = batch.column(0).to_numpy(), batch.column(1), batch.column(2), batch.column(3).to_numpy()
+        n = len(gram)
+        again = np.zeros(n, bool)
+        again[1:] = (gram[1:] == gram[:-1]) & _equal(piece.slice(1), piece.slice(0, n - 1))
+        origin = np.maximum.accumulate(np.where(~again, np.arange(n), 0))
+        held = batch.slice(int(origin[-1]), 1)
+        more = np.flatnonzero(again)
+        if len(more):
+            x, y = node.take(pa.array(more)), node.take(pa.array(origin[more]))
+            # a row that repeats identifier and text is the same occurrence, and stays like the first
+            other = ~(_equal(x.field(0), y.field(0)) & _equal(x.field(1), y.field(1)) & (lo[more] == lo[origin[more]]))
+            more = more[other]
+            size = pa.compute.binary_length(piece).to_numpy().astype(np.int64) // 4
+            out.append(_span_batch(node.take(pa.array(more)), lo[more], lo[more] + size[more]))
+        new = ~again
+        new[0] &= not lead
+        if new.any():
+            yield batch.filter(pa.array(new))
+
+
+def _words_of(piece: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all pieces, and where each begins (one more entry)."""
+    o = np.frombuffer(piece.buffers()[1], np.int32)[piece.offset : piece.offset + len(piece) + 1].astype(np.int64) // 4
+    return np.frombuffer(piece.buffers()[2], np.uint32), o
 
 
 def _shard(batches):
-    """Repeated spans of a shard's pieces, which come sorted by gram, piece, node, lo."""
-    for t in runs(batches, lambda t: t["gram"].to_numpy(), rows=max(1, SHARD_WORDS // (2 * LENGTH))):
-        piece = t["piece"].combine_chunks()
-        gram = t["gram"].to_numpy()
-        o = np.frombuffer(piece.buffers()[1], np.int32)[piece.offset : piece.offset + len(piece) + 1].astype(np.int64) // 4
-        text = np.frombuffer(piece.buffers()[2], np.uint32)
-        size = np.diff(o)
-        lo, anchor = t["lo"].to_numpy().astype(np.int64), t["anchor"].to_numpy().astype(np.int64)
-        node = t["node"].combine_chunks()
-        ids = _order(node)
-        value = pa.compute.rank(piece, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
-        again = np.concatenate([[False], (gram[1:] == gram[:-1]) & (value[1:] == value[:-1])])
-        other = again & np.concatenate([[False], (ids[1:] != ids[:-1]) | (lo[1:] != lo[:-1])])
-        # an equal piece that came earlier: whole if it holds a passage
-        full = np.flatnonzero(other & (size >= LENGTH))
-        # a row that repeats identifier and text is the same occurrence, and stays like the first
-        lead = np.maximum.accumulate(np.where(~again, np.arange(len(again)), 0))
-        full = full[(ids[full] != ids[lead[full]]) | (lo[full] != lo[lead[full]])]
-        out_row, out_a, out_b = [full], [lo[full]], [lo[full] + size[full]]
-        rep = np.flatnonzero(~again)
-        if len(rep):
-            r_size = size[rep]
-            base = np.concatenate([[0], np.cumsum((r_size + 1 + PERIOD - 1) // PERIOD * PERIOD + PERIOD)])
-            # aligned so that equal passages around one anchor lie in one residue class
-            head = base[:-1] + (PERIOD - anchor[rep] % PERIOD) % PERIOD
-            inside = np.arange(r_size.sum()) - np.repeat(np.cumsum(r_size) - r_size, r_size)
-            dense, codes = np.unique(text[np.repeat(o[rep], r_size) + inside], return_inverse=True)
-            joined = np.zeros(int(base[-1]) + LENGTH, np.uint32)
-            joined[np.repeat(head, r_size) + inside] = codes + 1
-            gaps = np.flatnonzero(joined[: int(base[-1])] == 0)
-            joined[gaps] = len(dense) + 1 + np.arange(len(gaps))  # every gap symbol is unique
-            joined[int(base[-1]) :] = len(dense) + 1 + len(gaps) + np.arange(LENGTH)
-            starts = np.maximum(r_size - LENGTH + 1, 0)
-            within = np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts)
-            owner = np.repeat(np.arange(len(rep)), starts)
-            place = head[owner] + within
-            back = np.full(len(joined), -1)
-            back[place] = np.arange(len(place))
-            sa = suffix_array(joined, place)
-            if len(sa):
-                equal = common_prefix(joined, sa[:-1], sa[1:], LENGTH)
-                run = np.concatenate([[0], np.cumsum(~equal)])
-                who = rep[owner[back[sa]]]
-                pos = lo[who] + within[back[sa]]
-                by = np.lexsort((pos, ids[who], run))
-                run, who, pos = run[by], who[by], pos[by]
-                first = np.concatenate([[True], run[1:] != run[:-1]])
-                origin = np.maximum.accumulate(np.where(first, np.arange(len(run)), 0))
-                dup = (ids[who] != ids[who[origin]]) | (pos != pos[origin])
-                out_row.append(who[dup])
-                out_a.append(pos[dup])
-                out_b.append(pos[dup] + LENGTH)
-        rows, a, b = np.concatenate(out_row), np.concatenate(out_a), np.concatenate(out_b)
-        rows, a, b = _union(rows, ids, a, b)
-        if len(rows):
-            yield pa.RecordBatch.from_arrays([node.take(pa.array(rows)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["node", "a", "b"])
+    """Repeated spans of a shard's pieces, which come sorted by gram, piece, node, lo; passages of hot anchors by their hashes."""
+    out: list = []
+    for t, part in runs(_first_pieces(batches, out), lambda t: t["gram"].to_numpy(), max(1, SHARD_WORDS // (2 * LENGTH)), HOT):
+        yield from out
+        out.clear()
+        yield from _hashed(t) if part is not None else _sorted(t)
+    yield from out
+
+
+def _hashed(t: pa.Table):
+    """The passages of pieces, by two hashes of their words."""
+    for part in t.to_batches(4096):
+        text, o = _words_of(part.column(1))
+        starts = np.diff(o) - LENGTH + 1
+        inside = np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts)
+        row = np.repeat(np.arange(len(starts)), starts)
+        h = mix64(text[o[0] : o[-1]].astype(np.uint64))
+        at = o[row] - o[0] + inside
+        p, q = ngrams(h, LENGTH)[at], ngrams(h, LENGTH, 0xC2B2AE3D27D4EB4F)[at]
+        a = part.column(3).to_numpy()[row] + inside
+        yield _span_batch(part.column(2).take(pa.array(row)), a, a + LENGTH, p, q)
+
+
+def _later_passages(batches):
+    """Spans of the passages of the stream sorted by hashes, node and place that aren't the first of theirs."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        node, a, b, p, q = batch.columns
+        a, p, q = a.to_numpy(), p.to_numpy(), q.to_numpy()
+        again = np.concatenate([[False], (p[1:] == p[:-1]) & (q[1:] == q[:-1])])
+        origin = np.maximum.accumulate(np.where(~again, np.arange(len(again)), 0))
+        held = batch.slice(int(origin[-1]), 1)
+        more = np.flatnonzero(again)
+        x, y = node.take(pa.array(more)), node.take(pa.array(origin[more]))
+        more = more[~(_equal(x.field(0), y.field(0)) & _equal(x.field(1), y.field(1)) & (a[more] == a[origin[more]]))]
+        if len(more):
+            yield _span_batch(node.take(pa.array(more)), a[more], b.to_numpy()[more])
+
+
+def _sorted(t: pa.Table):
+    """Repeated spans of different pieces, by their suffix array."""
+    piece = t["piece"].combine_chunks()
+    text, o = _words_of(piece)
+    size = np.diff(o)
+    lo, anchor = t["lo"].to_numpy().astype(np.int64), t["anchor"].to_numpy().astype(np.int64)
+    node = t["node"].combine_chunks()
+    ids = _order(node)
+    base = np.concatenate([[0], np.cumsum((size + 1 + PERIOD - 1) // PERIOD * PERIOD + PERIOD)])
+    # aligned so that equal passages around one anchor lie in one residue class
+    head = base[:-1] + (PERIOD - anchor % PERIOD) % PERIOD
+    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    dense, codes = np.unique(text[np.repeat(o[:-1], size) + inside], return_inverse=True)
+    joined = np.zeros(int(base[-1]) + LENGTH, np.uint32)
+    joined[np.repeat(head, size) + inside] = codes + 1
+    gaps = np.flatnonzero(joined[: int(base[-1])] == 0)
+    joined[gaps] = len(dense) + 1 + np.arange(len(gaps))  # every gap symbol is unique
+    joined[int(base[-1]) :] = len(dense) + 1 + len(gaps) + np.arange(LENGTH)
+    starts = np.maximum(size - LENGTH + 1, 0)
+    within = np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts)
+    owner = np.repeat(np.arange(len(size)), starts)
+    place = head[owner] + within
+    back = np.full(len(joined), -1)
+    back[place] = np.arange(len(place))
+    sa = suffix_array(joined, place)
+    if not len(sa):
+        return
+    equal = common_prefix(joined, sa[:-1], sa[1:], LENGTH)
+    run = np.concatenate([[0], np.cumsum(~equal)])
+    who = owner[back[sa]]
+    pos = lo[who] + within[back[sa]]
+    by = np.lexsort((pos, ids[who], run))
+    run, who, pos = run[by], who[by], pos[by]
+    first = np.concatenate([[True], run[1:] != run[:-1]])
+    origin = np.maximum.accumulate(np.where(first, np.arange(len(run)), 0))
+    dup = (ids[who] != ids[who[origin]]) | (pos != pos[origin])
+    rows, a, b = _union(who[dup], ids, pos[dup], pos[dup] + LENGTH)
+    if len(rows):
+        yield _span_batch(node.take(pa.array(rows)), a, b)
 
 
 def _order(node: pa.StructArray) -> np.ndarray:
@@ -376,7 +520,10 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ])
     pieces = rows.join(marks, "node").select("node", "text", "marks").mapInArrow(_cut, cut_schema)
     met = pieces.repartition("gram").sortWithinPartitions("gram", "piece", "node", "lo")
-    found = met.mapInArrow(_shard, T.StructType([T.StructField("node", kind), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))
+    span = T.StructType([T.StructField("node", kind), *[T.StructField(x, T.IntegerType()) for x in "ab"], *[T.StructField(x, T.LongType()) for x in "pq"]])
+    found = checkpoint(met.mapInArrow(_shard, span))  # spans only, and passages of hot anchors
+    hot = found.where("p is not null").repartition("p", "q").sortWithinPartitions("p", "q", "node", "a").mapInArrow(_later_passages, span)
+    found = found.where("p is null").union(hot).select("node", "a", "b")
     joined = F.aggregate(
         F.array_sort(F.collect_list(F.struct("a", "b"))),
         F.expr("cast(array() as array<struct<a:int,b:int>>)"),
@@ -425,7 +572,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             else:
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return wide.mapInArrow(run, docs.schema)
+    return plain(wide).mapInArrow(run, docs.schema)
 
 
 def remove_words(text: str, spans: list[list[int]]) -> str:
