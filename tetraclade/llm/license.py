@@ -22,12 +22,15 @@ are compared with what stayed.
 
 Defined cases: null and empty texts and texts shorter than GRAM words match
 nothing; a document without matches has no rows; a row that is repeated has its
-matches repeated; null identifiers are carried. An empty table gives an empty table.
+matches repeated; null identifiers are carried. A very long text is scanned whole, with
+some 100 bytes a word held. An empty table gives an empty table.
 The templates are a fixed list, so what is sent to executors doesn't grow.
 """
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -140,8 +143,13 @@ class Index:
                 found += self._align(k, self.size[k], h, w, places, row[mine[i : i + step]], diagonal[mine[i : i + step]])
         found.sort(key=lambda x: (x[0], -x[3], -x[2], x[1], x[4]))
         out: list[tuple] = []
+        now, spans = -1, []  # of this row what stayed, in order and apart
         for x in found:
-            if not any(y[0] == x[0] and x[4] < y[5] and y[4] < x[5] for y in reversed(out) if y[0] == x[0]):
+            if x[0] != now:
+                now, spans = x[0], []
+            i = bisect.bisect_left(spans, (x[4], x[5]))
+            if (i == 0 or spans[i - 1][1] <= x[4]) and (i == len(spans) or spans[i][0] >= x[5]):
+                spans.insert(i, (x[4], x[5]))
                 out.append(x)
         chars = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
         done = []
@@ -180,10 +188,11 @@ class Index:
             step = np.arange(width, dtype=np.int16)
             s = np.maximum.accumulate(s + step, axis=1) - step  # document words left out
             score[i] = np.where(ok, np.maximum(s, 0), 0)
-        flat_score = score.transpose(1, 0, 2).reshape(n, -1)
-        best = flat_score.shape[1] - 1 - flat_score[:, ::-1].argmax(1)  # of equal scores the longest alignment
-        i, b = best // width, best % width
         r = np.arange(n)
+        best = score.max((0, 2))
+        i = m - (score.max(2) == best)[::-1].argmax(0)  # of equal scores the longest alignment
+        # and of those the one nearest to the candidate's diagonal, so that a line in every few words finds itself
+        b = np.where(score[i, r] == best[:, None], np.abs(np.arange(width) - band), width).argmin(1)
         end = left + i - 1 + b + 1
         first, matched = end.copy(), np.zeros(n, np.int64)
         live = score[i, r, b] > 0
