@@ -1,7 +1,6 @@
 """Operators on whole texts against brute-force versions, and on awkward tables."""
 
 import itertools
-import math
 import random
 import re
 
@@ -599,7 +598,3 @@ def test_extensions_among_all_rows(spark, documents, awkward, nothing):
     want = [(i, len(t or ""), n) for (i, t), n in zip(rows, brute_extensions(rows)[0])]
     assert sorted([(r["doc_id"], r["n_chars"], r["common_chars"]) for r in got], key=key) == sorted(want, key=key)
     assert fingerprint.extensions(nothing).count() == 0
-
-
-def test_entropy_is_finite():
-    assert math.isfinite(langid.MAX_BITS)

@@ -5,7 +5,7 @@ word between, lower-cased and without punctuation, hashed into ``2**SPACE_BITS``
 coordinates. Training visits the sample ``EPOCHS`` times, row by row; every coordinate
 has its own rate, and the L1 term keeps weights at exactly zero until a feature has
 shown enough evidence, so the model is a short list of (coordinate, weight) pairs,
-at most ``MAX_WEIGHTS`` of them, whatever the corpus.
+never longer than the hash space, whatever the corpus.
 
 The model is fitted on a bounded sample of labelled rows: the ``TRAIN_ROWS`` labels
 with the smallest hash of their identifier. Every row of the table is scored on its
@@ -13,8 +13,10 @@ whole text.
 
 Defined cases: a null or empty text has no features and gets the score of the
 intercept. Labels that are null or whose document is missing are not used; without
-any label all scores are 0.0. Repeated rows are scored alike. An empty table gives
-an empty table. Other columns are not read.
+any label all scores are 0.0. A very long text is scored whole, with some 150 bytes a
+word held. Repeated rows are scored alike. An empty table gives an empty table. Other
+columns are not read; an identifier named like a result gets underscores behind its
+name.
 """
 
 from __future__ import annotations
@@ -34,7 +36,6 @@ EPOCHS = 10
 ALPHA, BETA, L1, L2 = 4.0, 1.0, 3.0, 0.01
 #: Score from which a text counts as toxic; above the share of toxic labels.
 THRESHOLD = 0.2
-MAX_WEIGHTS = 1 << SPACE_BITS
 _BIAS = 1 << SPACE_BITS
 
 FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("toxic", T.BooleanType())]
