@@ -1,8 +1,10 @@
 """Ensembles: grouped trees over one namespace of taxa, as DataFrames.
 
-``trees`` has one row for each input tree, ``stored`` one for each different topology of a
-group, with its multiplicity and the different sets of branch lengths. A tree is
-never split over rows, so everything that looks inside one is narrow.
+``trees`` has one row for each input tree, ``topologies`` one for each different topology of a
+group, with its multiplicity. The different sets of branch lengths of a topology are
+rows of ``variants``; they meet their topology only where lengths are measured, some
+``SETS`` of them in a row. A tree is never split over rows, so everything that looks
+inside one is narrow.
 """
 
 from __future__ import annotations
@@ -21,6 +23,9 @@ from ..sources import newick
 from ..ship import ship
 from ..sources.readers import tree_table
 
+#: Sets of branch lengths in one row, about.
+SETS = 64
+
 _INT, _DOUBLE = T.ArrayType(T.IntegerType()), T.ArrayType(T.DoubleType())
 TREE_FIELDS = [
     T.StructField("n_leaves", T.IntegerType()), T.StructField("names", T.ArrayType(T.StringType())), T.StructField("labels", T.ArrayType(T.StringType())),
@@ -86,6 +91,10 @@ class Ensemble:
         self.taxon_map = dict(taxon_map or {})
         self.polytomy_strategy = polytomy_strategy
         self.trees = parse_trees(source, taxon_map, polytomy_strategy, missing_length).persist()
+        if checked and isinstance(data, DataFrame):
+            again = self.trees.groupBy("tree_id").count().where("count > 1").first()
+            if again:
+                raise ValueError(f"tree_id {again[0]} stands for {again[1]} trees")
         if checked and not self.taxon_map:
             twice = self.trees.where(F.size(F.array_distinct("names")) < F.size("names")).select("tree_id").first()
             if twice:
@@ -154,23 +163,44 @@ class Ensemble:
 
     @cached_property
     def variants(self) -> DataFrame:
-        """``(group, topo_hash, tree_hash, first, multiplicity)``: the different sets of lengths of a topology."""
-        return self.trees.groupBy("group", "topo_hash", "tree_hash").agg(F.min("tree_id").alias("first"), F.count("*").cast("int").alias("multiplicity"))
+        """``(group, topo_hash, tree_hash, first, multiplicity, rd)``: the different sets of lengths of a topology."""
+        own = F.min(F.struct("tree_id", "rd")).alias("x")
+        v = self.trees.groupBy("group", "topo_hash", "tree_hash").agg(F.count("*").cast("int").alias("multiplicity"), own)
+        return v.select("group", "topo_hash", "tree_hash", F.col("x.tree_id").alias("first"), "multiplicity", F.col("x.rd").alias("rd"))
 
     @cached_property
-    def stored(self) -> DataFrame:
-        """One row for each topology of a group: that of its first tree, with ``variants`` and multiplicity.
+    def topologies(self) -> DataFrame:
+        """One row for each topology of a group: its first tree, multiplicity and number of variants.
 
-        Trees meet by (group, topology) with their lengths only; the rest comes from the first.
+        Nothing is joined by ``tree_id``, so counts are right even if identifiers repeat.
         """
         same = ["group", "topo_hash"]
-        v = self.trees.groupBy(*same, "tree_hash").agg(F.count("*").cast("int").alias("multiplicity"), F.min(F.struct("tree_id", "rd")).alias("x"))
-        v = v.groupBy(*same).agg(
-            F.array_sort(F.collect_list(F.struct(F.col("x.tree_id").alias("first"), "multiplicity", F.col("x.rd").alias("rd")))).alias("variants"),
-            F.min("x.tree_id").alias("tree_id"),
-            F.sum("multiplicity").cast("int").alias("multiplicity"),
-        )
-        return self.trees.join(v.drop("topo_hash", "group"), "tree_id").drop("tree_hash").join(F.broadcast(self.group_table()), "group")
+        tree = F.struct(*[c for c in self.trees.columns if c not in (*same, "tree_hash")])
+        v = self.trees.groupBy(*same, "tree_hash").agg(F.count("*").alias("m"), F.min_by(tree, "tree_id").alias("t"))
+        v = v.groupBy(*same).agg(F.sum("m").cast("int").alias("multiplicity"), F.count("*").cast("int").alias("n_variants"), F.min_by("t", F.struct("t.tree_id", "tree_hash")).alias("t"))
+        return v.select(*same, "multiplicity", "n_variants", "t.*").join(self.group_table(), "group")
+
+    def measured(self, sets: int | None = SETS) -> DataFrame:
+        """``seated`` with ``variants``, arrays of (first, multiplicity, rd).
+
+        A topology has a row for about every ``sets`` of its variants, one with None.
+        """
+        same = ["group", "topo_hash"]
+        n = F.greatest(F.lit(1), F.ceil(F.col("n_variants") / sets)) if sets else F.lit(1)
+        parts = self.seated.select(*same, n.alias("n"))
+        v = self.variants.join(parts, same).withColumn("part", F.pmod(F.xxhash64("tree_hash"), F.col("n")))
+        v = v.groupBy(*same, "part").agg(F.array_sort(F.collect_list(F.struct("first", "multiplicity", "rd"))).alias("variants"))
+        return self.seated.join(v.drop("part"), same)
+
+    @property
+    def stored(self) -> DataFrame:
+        """``topologies`` with all ``variants`` of each in one row, to look at."""
+        return self.placed.drop("slots")
+
+    @property
+    def placed(self) -> DataFrame:
+        """``stored`` with ``slots``."""
+        return self.measured(None)
 
     def slots(self, names: Sequence[str]) -> np.ndarray:
         """Leaf of each global id in a tree of these leaf names, -1 if absent."""
@@ -182,10 +212,10 @@ class Ensemble:
         return out | {g: self.slot_ids(g) for g in self.paralogs}
 
     @cached_property
-    def placed(self) -> DataFrame:
-        """``stored`` with ``slots``: the leaf of each global id, -1 if absent."""
+    def seated(self) -> DataFrame:
+        """``topologies`` with ``slots``: the leaf of each global id, -1 if absent."""
         where, n = self._slot_map(), len(self.taxa)
-        df = self.stored
+        df = self.topologies
         schema = T.StructType([*df.schema.fields, T.StructField("slots", _INT)])
 
         def run(batches):
@@ -199,15 +229,19 @@ class Ensemble:
 
     def tree_taxa(self) -> DataFrame:
         """``(tree_id, gid, leaf_id)`` of the taxa present in each stored tree."""
-        return self.placed.select("tree_id", F.posexplode("slots").alias("gid", "leaf_id")).where("leaf_id >= 0")
+        return self.seated.select("tree_id", F.posexplode("slots").alias("gid", "leaf_id")).where("leaf_id >= 0")
 
-    def with_slots(self, slots: DataFrame) -> Ensemble:
-        """A copy whose stored trees have the slots of ``(tree_id, slots)``."""
+    def with_seated(self, seated: DataFrame) -> Ensemble:
+        """A copy with other stored trees."""
         other = object.__new__(Ensemble)
         other.__dict__.update(self.__dict__)
-        other.__dict__["placed"] = self.placed.drop("slots").join(slots, "tree_id").persist()
+        other.__dict__["seated"] = seated
         return other
 
+    def with_slots(self, slots: DataFrame) -> Ensemble:
+        """A copy whose stored trees have the slots of ``(tree_id, slots)``."""
+        return self.with_seated(self.seated.drop("slots").join(slots, "tree_id"))
+
     def quartets(self, *args: object, **kwargs: object) -> Quartets:
         """A window of the sequence over this namespace."""
         return Quartets(self.taxa, *args, **kwargs)
@@ -251,8 +285,8 @@ class Ensemble:
     def unpersist(self) -> None:
         """Free what is cached."""
         self.trees.unpersist()
-        if "placed" in self.__dict__:
-            self.placed.unpersist()
+        if "seated" in self.__dict__:
+            self.seated.unpersist()
 
 
 def _slots(where: dict[str, list[int]], n: int, names: Sequence[str]) -> np.ndarray:

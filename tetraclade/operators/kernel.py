@@ -79,7 +79,7 @@ class Packed:
         return np.where(self.depth[b] < self.depth[a], b, a)
 
 
-_PAIRS = ((0, 1), (2, 3), (0, 2), (1, 3), (0, 3), (1, 2))
+PAIRS = ((0, 1), (2, 3), (0, 2), (1, 3), (0, 3), (1, 2))
 
 
 def count(trees: list[tuple[int, Packed]], q: np.ndarray, n_groups: int, steiner: bool) -> list[np.ndarray]:
@@ -101,13 +101,13 @@ def count(trees: list[tuple[int, Packed]], q: np.ndarray, n_groups: int, steiner
             continue
         if t.dense:
             if size != t.n:
-                size, flat = t.n, [q[x] * t.n + q[y] for x, y in _PAIRS]
+                size, flat = t.n, [q[x] * t.n + q[y] for x, y in PAIRS]
             r = [t.pair_rd[f] for f in flat]
         else:
             leaf = t.leaf[q]
             absent = (leaf < 0).any(0)
             safe = np.where(absent, q[:, :1] * 0 + np.flatnonzero(t.leaf >= 0)[:4, None], q) if absent.any() else q
-            anc = [t.lca(safe[x], safe[y]) for x, y in _PAIRS]
+            anc = [t.lca(safe[x], safe[y]) for x, y in PAIRS]
             r = [np.where(absent, np.nan, t.rd[v]) for v in anc]
         r0, r1, r2 = r[0] + r[1], r[2] + r[3], r[4] + r[5]
         two = r2 > np.maximum(r0, r1)
@@ -171,6 +171,9 @@ def load(payload: bytes) -> list[tuple[int, Packed]]:
     with pa.ipc.open_stream(payload) as r:
         for row in r.read_all().to_pylist():
             rd = np.array(row["rd"])
-            variants = [(v["multiplicity"], x if len(row["variants"]) > 1 and not np.array_equal(x, rd) else rd) for v in row["variants"] for x in [np.array(v["rd"])]]
+            if "variants" in row:
+                variants = [(v["multiplicity"], rd if v["rd"] == row["rd"] else np.array(v["rd"])) for v in row["variants"]]
+            else:
+                variants = [(row["multiplicity"], rd)]
             out.append((row["group_idx"], Packed(np.array(row["slots"], np.int32), np.array(row["gap"], np.int32), np.array(row["depth"], np.int32), np.array(row["poly"], bool), rd, variants)))
     return out

@@ -56,8 +56,8 @@ def polytomy_stats(ens: Ensemble) -> DataFrame:
 
 def memory_footprint(ens: Ensemble) -> DataFrame:
     """``(group, bytes)`` of the packed arrays of stored trees."""
-    size = F.size("rd") * (1 + F.size("variants")) * 8 + F.size("slots") * 4 + F.size("gap") * 12
-    return ens.placed.groupBy("group").agg(F.sum(size).alias("bytes"))
+    size = F.size("rd") * (1 + F.col("n_variants")) * 8 + F.size("slots") * 4 + F.size("gap") * 12
+    return ens.seated.groupBy("group").agg(F.sum(size).alias("bytes"))
 
 
 def warnings(ens: Ensemble) -> list[str]:
