@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions.quartets import Quartets
 from . import kernel
-from .qed import qed, qed_array
-from .topology import BROADCAST_BYTES, blocks, packed_bytes, quartet_topology
+from .qed import mean_qed, qed, qed_array, quartet_qed
+from .topology import BLOCK_BYTES, BROADCAST_BYTES, blocks, packed_bytes, quartet_topology
 
 if TYPE_CHECKING:
     from .ensemble import Ensemble
@@ -36,7 +36,7 @@ def assignments(ens: Ensemble) -> DataFrame:
         raise ValueError("no genome has several copies")
     s = F.explode(F.array(*[F.struct(F.lit(g).alias("genome"), F.lit(i).alias("copy"), F.lit(gid).alias("gid")) for g, i, gid in slots]))
     leaf = F.get("slots", F.col("s.gid"))
-    return ens.placed.select("tree_id", "slots", s.alias("s")).select("s.genome", "s.copy", "tree_id", F.when(leaf >= 0, leaf).alias("leaf_id"))
+    return ens.seated.select("tree_id", "slots", s.alias("s")).select("s.genome", "s.copy", "tree_id", F.when(leaf >= 0, leaf).alias("leaf_id"))
 
 
 def quartet_index(ens: Ensemble, quartets: Quartets) -> DataFrame:
@@ -54,21 +54,71 @@ def permuted(ens: Ensemble, genome: str, perm: Sequence[int]) -> Ensemble:
     ids = ens.slot_ids(genome)
     if sorted(perm) != list(range(len(ids))):
         raise ValueError(f"not a permutation of {len(ids)} slots: {perm!r}")
-    source = list(range(len(ens.taxa)))
-    for i, p in enumerate(perm):
-        source[ids[i]] = ids[p]
-    order = F.array(*[F.lit(x) for x in source])
-    slots = F.transform(order, lambda i: F.get("slots", i))
-    return ens.with_slots(ens.placed.select("tree_id", slots.alias("slots")))
+    moves = {ids[i]: ids[p] for i, p in enumerate(perm) if i != p}
+    if not moves:
+        return ens
+    # narrow; the arrays of slots are rewritten at the moved places only
+    source = F.create_map(*[F.lit(x) for move in moves.items() for x in move])
+    slots = F.transform("slots", lambda leaf, i: F.get("slots", F.coalesce(source[i], i)))
+    return ens.with_seated(ens.seated.withColumn("slots", slots))
 
 
 def counts_delta(ens: Ensemble, quartets: Quartets, genome: str, perm: Sequence[int]) -> DataFrame:
-    """``(qi, group, topology, delta)``: change of counts by a permutation, on touched quartets only, zeros left out."""
-    touched = quartet_index(ens, quartets).where(F.col("genome") == genome).select("qi")
-    after = quartet_topology(permuted(ens, genome, perm), quartets).select("qi", "group", "topology", F.col("count").alias("n"))
-    before = quartet_topology(ens, quartets).select("qi", "group", "topology", (-F.col("count")).alias("n"))
-    both = after.unionByName(before).join(touched, "qi", "left_semi")
-    return both.groupBy("qi", "group", "topology").agg(F.sum("n").cast("int").alias("delta")).where("delta != 0")
+    """``(qi, group, topology, delta)``: change of counts by a permutation, zeros left out.
+
+    Only trees whose slots change and quartets that touch a moved slot are counted,
+    under the old and the new slots in one pass. Trees stay where they are, each task
+    sends what its trees change, and changes of one cell add up.
+    """
+    if genome not in ens.paralogs:
+        raise ValueError(f"{genome!r} has no copies to permute")
+    ids = ens.slot_ids(genome)
+    if sorted(perm) != list(range(len(ids))):
+        raise ValueError(f"not a permutation of {len(ids)} slots: {perm!r}")
+    moved = [(ids[i], ids[p]) for i, p in enumerate(perm) if i != p]
+    schema = "qi bigint, group_idx int, topology int, delta bigint"
+    if not moved:
+        return _signed(ens, ens.spark.createDataFrame([], schema))
+    changes = F.lit(False)
+    for x, y in moved:
+        changes = changes | (F.get("slots", F.lit(x)) != F.get("slots", F.lit(y)))
+    few = ens.with_seated(ens.seated.where(changes))
+    size = packed_bytes(few)
+    if not size:
+        return _signed(ens, ens.spark.createDataFrame([], schema))
+    n_groups, n_taxa = ens.n_groups, len(ens.taxa)
+    to = np.arange(n_taxa)
+    to[[x for x, _ in moved]] = [y for _, y in moved]
+
+    def run(batches):
+        for batch in batches:
+            for payload in batch.column(0):
+                trees = kernel.load(payload.as_py())
+                for start in range(0, quartets.count, kernel.BATCH):
+                    qi = np.arange(start, min(start + kernel.BATCH, quartets.count))
+                    q = quartets.at(qi + quartets.offset)
+                    touched = (to[q] != q).any(1)
+                    qi, q = qi[touched], q[touched]
+                    if not len(qi):
+                        continue
+                    delta = _moved_counts(trees, to[q], n_groups) - kernel.count(trees, q, n_groups, False)[0]
+                    at, group, topology = np.nonzero(delta)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(qi[at]), pa.array(group.astype(np.int32)), pa.array(topology.astype(np.int32)), pa.array(delta[at, group, topology])], names=["qi", "group_idx", "topology", "delta"]
+                    )
+
+    return _signed(ens, blocks(few, max(1, -(-size // BLOCK_BYTES))).mapInArrow(run, schema))
+
+
+def _signed(ens: Ensemble, parts: DataFrame) -> DataFrame:
+    total = parts.groupBy("qi", "group_idx", "topology").agg(F.sum("delta").cast("int").alias("delta")).where("delta != 0")
+    return total.join(ens.group_table(), "group_idx").select("qi", "group", "topology", "delta")
+
+
+def _moved_counts(trees: list, moved: np.ndarray, n_groups: int) -> np.ndarray:
+    """Counts of quartets whose ids stand for other ids, numbered as before."""
+    order = np.argsort(moved, 1)
+    return _renumber(kernel.count(trees, np.take_along_axis(moved, order, 1), n_groups, False)[0], order)
 
 
 def permutation_scores(ens: Ensemble, quartets: Quartets, genome: str, perms: Sequence[Sequence[int]]) -> dict[tuple[int, ...], float]:
@@ -100,10 +150,7 @@ def permutation_scores(ens: Ensemble, quartets: Quartets, genome: str, perms: Se
                     to = np.arange(int(q.max()) + 1)
                     to = np.concatenate([to, np.arange(len(to), max(ids) + 1)])
                     to[ids] = [ids[p] for p in perm]
-                    moved = to[q[touched]]
-                    order = np.argsort(moved, 1)
-                    cube = kernel.count(trees, np.take_along_axis(moved, order, 1), n_groups, False)[0]
-                    cube = _renumber(cube, order)
+                    cube = _moved_counts(trees, to[q[touched]], n_groups)
                     total = same + qed_array(cube, pairs).sum()
                     yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([float(total)]), pa.array([len(q) * len(pairs)])], names=["k", "total", "n"])
 
@@ -128,6 +175,27 @@ def _renumber(cube: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
+def mean_score(ens: Ensemble, quartets: Quartets) -> float:
+    """Mean score over all quartets of the window and pairs of groups, 0 without pairs."""
+    g = next(iter(ens.paralogs), None)
+    if g is None:
+        return mean_qed(quartet_qed(ens, quartets)).first()[0]
+    return next(iter(permutation_scores(ens, quartets, g, [tuple(range(ens.paralogs[g]))]).values()))
+
+
+def evaluate_swap(ens: Ensemble, quartets: Quartets, genome: str, perm: Sequence[int]) -> float:
+    """Mean score that a permutation of a genome's slots would give; nothing changes."""
+    permuted(ens, genome, perm)  # its checks
+    return permutation_scores(ens, quartets, genome, [tuple(perm)])[tuple(perm)]
+
+
+def apply_swap(ens: Ensemble, quartets: Quartets, counts: DataFrame, genome: str, perm: Sequence[int]) -> tuple[Ensemble, DataFrame]:
+    """The permuted ensemble, and ``counts`` (a long topology result) with the permutation's delta added."""
+    delta = counts_delta(ens, quartets, genome, perm)
+    new = counts.join(delta, ["qi", "group", "topology"], "left").withColumn("count", (F.col("count") + F.coalesce("delta", F.lit(0))).cast("int"))
+    return permuted(ens, genome, perm), new.select(*counts.columns)
+
+
 @dataclass
 class OptimizationResult:
     """Trace of a search: mean score at the start and after each sweep, and the slots' sources."""

@@ -9,10 +9,17 @@ either group has no resolved tree.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import TYPE_CHECKING
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+if TYPE_CHECKING:
+    from ..functions.quartets import Quartets
+    from .ensemble import Ensemble
 
 LOG3 = 0.9102392266268374
 QUARTET = ["qi", "quartet_idx", *"abcd"]
@@ -24,6 +31,68 @@ def default_pairs(groups: Sequence[str]) -> list[tuple[str, str]]:
     return [(g[i], g[j]) for i in range(len(g)) for j in range(i + 1, len(g))]
 
 
+def named_pairs(groups: Sequence[str], group_pairs: Sequence) -> list[tuple[str, str]]:
+    """Pairs of names from pairs of names or positions; ValueError for what isn't one."""
+    ordered = sorted(groups)
+    known = set(ordered)
+    pairs = []
+    for p in group_pairs:
+        if len(p) != 2:
+            raise ValueError(f"a pair has two groups: {p!r}")
+        both = []
+        for g in p:
+            if isinstance(g, str):
+                if g not in known:
+                    raise ValueError(f"unknown group {g!r}")
+                both.append(g)
+            elif 0 <= g < len(ordered):
+                both.append(ordered[g])
+            else:
+                raise ValueError(f"group {g} is not in [0, {len(ordered)})")
+        pairs.append(tuple(both))
+    return pairs
+
+
+#: Scores that leave the kernel in one batch.
+ROWS = 1 << 18
+
+
+def quartet_qed(ens: Ensemble, quartets: Quartets, group_pairs: Sequence | None = None) -> DataFrame:
+    """The scores of :func:`qed` straight from the kernel; nothing is shuffled if the trees fit.
+
+    All pairs of groups are made where the counts are, so no list of them is sent.
+    """
+    from ..functions.quartets import named
+    from .topology import fits, over_quartets, quartet_columns, quartet_topology
+
+    groups, wide = ens.groups, quartets.wide
+    given = None
+    if group_pairs is not None:
+        number = {g: i for i, g in enumerate(groups)}
+        given = np.array([[number[x] for x in p] for p in named_pairs(groups, group_pairs)], np.int32).reshape(-1, 2)
+    if not fits(ens):
+        return qed(quartet_topology(ens, quartets), groups, group_pairs)
+    ids = [T.StructField(x, T.IntegerType()) for x in (*"abcd", "ga", "gb")]
+    schema = T.StructType([T.StructField("qi", T.LongType()), T.StructField("quartet_idx", T.DecimalType(38, 0) if wide else T.LongType()), *ids, T.StructField("qed", T.DoubleType())])
+    n_groups = len(groups)
+
+    def emit(qi, q, cube):
+        g, h = np.triu_indices(n_groups, 1) if given is None else given.T
+        columns = quartet_columns(qi, q, wide)
+        step = max(1, ROWS // max(1, min(len(g), ROWS)))
+        for i in range(0, len(qi), step):
+            rows = np.arange(i, min(i + step, len(qi)))
+            for j in range(0, len(g), ROWS):
+                x, y = g[j : j + ROWS], h[j : j + ROWS]
+                s = _scores(cube[0][rows], x, y)
+                at = pa.array(np.repeat(rows, len(x)))
+                yield [*[c.take(at) for c in columns], pa.array(np.tile(x.astype(np.int32), len(rows))), pa.array(np.tile(y.astype(np.int32), len(rows))), pa.array(s.ravel())]
+
+    df = named(over_quartets(ens, quartets, False, emit, schema), ens.taxa)
+    df = named(df, groups, ("ga", "gb"))
+    return df.select(*QUARTET, F.col("ga").alias("group_a"), F.col("gb").alias("group_b"), "qed")
+
+
 def score(x: list[Column], y: list[Column]) -> Column:
     """Score of two groups' counts of topologies 0, 1, 2."""
     nx, ny = x[0] + x[1] + x[2], y[0] + y[1] + y[2]
@@ -46,22 +115,7 @@ def qed(topology: DataFrame, groups: Sequence[str], group_pairs: Sequence[tuple[
     Each quartet's counts meet once, in one shuffle by ``qi``; pairs are made from them
     in place.
     """
-    ordered = sorted(groups)
-    pairs = default_pairs(ordered) if group_pairs is None else []
-    for p in group_pairs or ():
-        if len(p) != 2:
-            raise ValueError(f"a pair has two groups: {p!r}")
-        both = []
-        for g in p:
-            if isinstance(g, str):
-                if g not in ordered:
-                    raise ValueError(f"unknown group {g!r}")
-                both.append(g)
-            elif 0 <= g < len(ordered):
-                both.append(ordered[g])
-            else:
-                raise ValueError(f"group {g} is not in [0, {len(ordered)})")
-        pairs.append(tuple(both))
+    pairs = default_pairs(groups) if group_pairs is None else named_pairs(groups, group_pairs)
     schema = "qi bigint, quartet_idx bigint, a string, b string, c string, d string, group_a string, group_b string, qed double"
     if not pairs:
         return topology.sparkSession.createDataFrame([], schema)
@@ -72,7 +126,7 @@ def qed(topology: DataFrame, groups: Sequence[str], group_pairs: Sequence[tuple[
         df = resolved.select(*QUARTET, "n", pair.alias("p"))
     else:  # a table of names, quadratic in groups and independent of quartets
         table = topology.sparkSession.createDataFrame(pairs, "x string, y string").select(F.struct("x", "y").alias("p"))
-        df = resolved.select(*QUARTET, "n").crossJoin(F.broadcast(table))
+        df = resolved.select(*QUARTET, "n").crossJoin(table)
 
     def count(side: str, k: int) -> Column:
         return F.coalesce(F.col("n")[F.struct(F.col(f"p.{side}").alias("group"), F.lit(k).alias("topology"))], F.lit(0)).alias(f"{side}{k}")
@@ -91,15 +145,17 @@ def qed_array(cube: np.ndarray, pairs: Sequence[tuple[int, int]]) -> np.ndarray:
     """Scores (quartets, pairs) of dense counts (quartets, groups, 3 or 4)."""
     if cube.ndim != 3 or cube.shape[2] < 3:
         raise ValueError("counts must have shape (quartets, groups, 3 or 4)")
+    if any(not 0 <= g < cube.shape[1] for p in pairs for g in p):
+        raise ValueError("a group pair is out of range")
+    g, h = np.array(pairs, np.int64).reshape(-1, 2).T
+    return _scores(cube, g, h)
+
+
+def _scores(cube: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
     c = cube[:, :, :3].astype(float)
     total = c.sum(2)
     p = c / np.where(total == 0, 1, total)[:, :, None]
     best = c.argmax(2)
-    out = np.zeros((len(cube), len(pairs)))
-    for k, (g, h) in enumerate(pairs):
-        if not (0 <= g < cube.shape[1] and 0 <= h < cube.shape[1]):
-            raise ValueError(f"group pair {(g, h)} is out of range")
-        x = p[:, g] * p[:, h]
-        s = 1 + (x * np.log(np.where(x > 0, x, 1)) * LOG3).sum(1)
-        out[:, k] = np.where((total[:, g] == 0) | (total[:, h] == 0), 0, np.where(best[:, g] == best[:, h], s, -s))
-    return out
+    x = p[:, g] * p[:, h]
+    s = 1 + (x * np.log(np.where(x > 0, x, 1)) * LOG3).sum(2)
+    return np.where((total[:, g] == 0) | (total[:, h] == 0), 0.0, np.where(best[:, g] == best[:, h], s, -s))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 if TYPE_CHECKING:
+    from ..functions.quartets import Quartets
     from .ensemble import Ensemble
 
 
@@ -35,35 +36,77 @@ def tree_stats(trees: DataFrame) -> DataFrame:
     )
 
 
-def lca_pairs(ens: Ensemble, variants: bool = False) -> DataFrame:
+def lca_pairs(trees: Ensemble | DataFrame, variants: bool = False, leaves: bool = False) -> DataFrame:
     """``(tree_id, i, j, lca, rd, is_poly)`` of all pairs i < j of taxa present in each stored tree.
 
-    A narrow operator; its output is quadratic in the leaves of a tree.
+    With ``leaves`` also the root distances ``(ri, rj)`` of both taxa. A narrow
+    operator; its output is quadratic in the leaves of a tree.
     """
+    from .kernel import Packed
+
+    placed = trees if isinstance(trees, DataFrame) else trees.seated
     fields = [("tree_id", T.LongType()), ("i", T.IntegerType()), ("j", T.IntegerType()), ("lca", T.IntegerType()), ("rd", T.DoubleType()), ("is_poly", T.BooleanType())]
-    if variants:
-        fields.append(("variant_rd", T.ArrayType(T.DoubleType())))
+    fields += [("ri", T.DoubleType()), ("rj", T.DoubleType())] * leaves + [("variant_rd", T.ArrayType(T.DoubleType()))] * variants
     schema = T.StructType([T.StructField(*f) for f in fields])
 
     def run(batches):
-        from .kernel import Packed
-
         for b in batches:
-            for row in b.to_pylist():
-                slots = np.array(row["slots"], np.int32)
+            for tree_id, slots, gap, depth, poly, rd, *sets in zip(*b.columns):
+                slots, gap, depth, rd = (_values(x) for x in (slots, gap, depth, rd))
+                poly = np.asarray(poly.values.to_numpy(zero_copy_only=False), bool)
                 here = np.flatnonzero(slots >= 0)
                 i, j = (here[x] for x in np.triu_indices(len(here), 1))
                 if not len(i):
                     continue
-                rd = np.array(row["rd"])
-                poly = np.array(row["poly"], bool)
-                v = Packed(slots, np.array(row["gap"], np.int32), np.array(row["depth"], np.int32), poly, rd, []).lca(i, j)
-                out = [pa.array(np.full(len(i), row["tree_id"])), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(v.astype(np.int32)), pa.array(rd[v]), pa.array(poly[v])]
+                v = Packed(slots, gap, depth, poly, rd, []).lca(i, j)
+                out = [pa.array(np.full(len(i), tree_id.as_py())), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(v.astype(np.int32)), pa.array(rd[v]), pa.array(poly[v])]
+                if leaves:
+                    out += [pa.array(rd[slots[i]]), pa.array(rd[slots[j]])]
                 if variants:
-                    out.append(pa.array(list(np.stack([np.array(x["rd"])[v] for x in row["variants"]], 1)), pa.list_(pa.float64())))
+                    all_rd = np.stack([np.array(x["rd"]) for x in sets[0].as_py()])[:, v]
+                    cut = np.arange(len(i) + 1, dtype=np.int32) * len(all_rd)
+                    out.append(pa.ListArray.from_arrays(pa.array(cut), pa.array(all_rd.T.ravel())))
                 yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    return ens.placed.select("tree_id", "slots", "gap", "depth", "poly", "rd", "variants").mapInArrow(run, schema)
+    return placed.select("tree_id", "slots", "gap", "depth", "poly", "rd", *["variants"] * variants).mapInArrow(run, schema)
+
+
+def _values(x: pa.ListScalar) -> np.ndarray:
+    return x.values.to_numpy(zero_copy_only=False)
+
+
+def tree_splits(ens: Ensemble, quartets: Quartets, return_steiner: bool = False) -> DataFrame:
+    """``(tree_id, qi, topology)`` of every stored tree and every quartet of the window that it holds.
+
+    The single-tree rule: of the three pairings the one with strictly the greatest
+    common-ancestor depths, and the first with the last if there is none. With
+    ``return_steiner`` also the length of the quartet's subtree. Narrow: each tree is
+    looked at once, quartets are drawn where the tree is.
+    """
+    from . import kernel
+
+    schema = T.StructType([T.StructField("tree_id", T.LongType()), T.StructField("qi", T.LongType()), T.StructField("topology", T.IntegerType()), *[T.StructField("steiner", T.DoubleType())] * return_steiner])
+
+    def run(batches):
+        for b in batches:
+            for tree_id, slots, gap, depth, poly, rd in zip(*b.columns):
+                slots, gap, depth, rd = (_values(x) for x in (slots, gap, depth, rd))
+                t = kernel.Packed(slots, gap, depth, np.asarray(poly.values.to_numpy(zero_copy_only=False), bool), rd, [])
+                for start in range(0, quartets.count, kernel.BATCH):
+                    qi = np.arange(start, min(start + kernel.BATCH, quartets.count))
+                    q = quartets.at(qi + quartets.offset)
+                    here = (slots[q] >= 0).all(1)
+                    qi, q = qi[here], q[here].T
+                    r = [rd[t.lca(q[x], q[y])] for x, y in kernel.PAIRS]
+                    r0, r1, r2 = r[0] + r[1], r[2] + r[3], r[4] + r[5]
+                    topology = np.where((r0 > r1) & (r0 > r2), 0, np.where((r1 > r0) & (r1 > r2), 1, 2)).astype(np.int32)
+                    out = [pa.array(np.full(len(qi), tree_id.as_py())), pa.array(qi), pa.array(topology)]
+                    if return_steiner:
+                        won = np.maximum(np.maximum(r0, r1), r2)
+                        out.append(pa.array(rd[slots[q]].sum(0) - (won + r0 + r1 + r2) * 0.5))
+                    yield pa.RecordBatch.from_arrays(out, names=schema.names)
+
+    return ens.seated.select("tree_id", "slots", "gap", "depth", "poly", "rd").mapInArrow(run, schema)
 
 
 def branch_distance(ens: Ensemble, a: str | int, b: str | int) -> DataFrame:
@@ -79,15 +122,12 @@ def branch_distance(ens: Ensemble, a: str | int, b: str | int) -> DataFrame:
     both = (F.col("x") >= 0) & (F.col("y") >= 0)
     path = F.get("rd", F.col("x")) + F.get("rd", F.col("y")) - 2 * F.get("rd", top)
     d = F.when(both & (F.col("x") == F.col("y")), 0.0).when(both, path)
-    return ens.placed.withColumns({"x": x, "y": y}).select("tree_id", "group", "multiplicity", d.alias("distance"))
+    return ens.seated.withColumns({"x": x, "y": y}).select("tree_id", "group", "multiplicity", d.alias("distance"))
 
 
 def distances(ens: Ensemble) -> DataFrame:
-    """``(tree_id, i, j, distance)`` of all pairs of taxa of each stored tree."""
-    leaf = ens.placed.select("tree_id", F.posexplode("slots").alias("gid", "leaf"), "rd").where("leaf >= 0").select("tree_id", "gid", F.get("rd", F.col("leaf")).alias("leaf_rd"))
-    left = leaf.select("tree_id", F.col("gid").alias("i"), F.col("leaf_rd").alias("ri"))
-    right = leaf.select("tree_id", F.col("gid").alias("j"), F.col("leaf_rd").alias("rj"))
-    return lca_pairs(ens).join(left, ["tree_id", "i"]).join(right, ["tree_id", "j"]).select("tree_id", "i", "j", (F.col("ri") + F.col("rj") - 2 * F.col("rd")).alias("distance"))
+    """``(tree_id, i, j, distance)`` of all pairs of taxa of each stored tree; narrow."""
+    return lca_pairs(ens, leaves=True).select("tree_id", "i", "j", (F.col("ri") + F.col("rj") - 2 * F.col("rd")).alias("distance"))
 
 
 def multi_lca(node_table: DataFrame, members: DataFrame) -> DataFrame:

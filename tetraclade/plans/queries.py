@@ -13,6 +13,7 @@ from ..functions import text
 from ..operators import consensus, frames, paralog, qed, stats, trees
 from ..operators.ensemble import Ensemble
 from ..operators.topology import quartet_topology
+from ..operators.topology import topology_wide as topology_wide_rows
 from ..streaming.counts import tree_topologies
 from . import derived
 
@@ -208,18 +209,13 @@ def multi_lca_steiner(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("quartet_split", _with(_LADDER, _taxa("ranks"), _quartets(6), _LADDER_PAIRS) + "SELECT quartet_idx, CAST(tree_id AS BIGINT) AS tree_id, CASE WHEN r0 > r1 AND r0 > r2 THEN 0 WHEN r1 > r0 AND r1 > r2 THEN 1 ELSE 2 END AS topology FROM sums")
 def quartet_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     ens = derived.ensemble(spark, sf_dir)
-    df = _first(ens, 6).table(spark)
-    p = trees.lca_pairs(ens)
-    for k, (x, y) in enumerate((("a", "b"), ("c", "d"), ("a", "c"), ("b", "d"), ("a", "d"), ("b", "c"))):
-        side = p.select("tree_id", F.col("i").alias(x), F.col("j").alias(y), F.col("rd").alias(f"r{k}"))
-        df = df.join(side, [x, y] if k == 0 else ["tree_id", x, y])
-    c = F.col
-    return df.select("quartet_idx", "tree_id", trees.split_topology(c("r0") + c("r1"), c("r2") + c("r3"), c("r4") + c("r5")).alias("topology"))
+    q = _first(ens, 6)
+    return trees.tree_splits(ens, q).join(q.table(spark).select("qi", "quartet_idx"), "qi").select("quartet_idx", "tree_id", "topology")
 
 
 @_query("tree_dedup_multiplicity", _with(_STAR) + """SELECT grp AS "group", CAST(min(tree_id) AS BIGINT) AS tree_id, CAST(count(DISTINCT rep) AS INTEGER) AS multiplicity, CAST(count(DISTINCT rep % 3) AS INTEGER) AS n_variants FROM star GROUP BY 1""")
 def tree_dedup_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived.ensemble(spark, sf_dir, "star").stored.select("group", "tree_id", "multiplicity", F.size("variants").alias("n_variants"))
+    return derived.ensemble(spark, sf_dir, "star").topologies.select("group", "tree_id", "multiplicity", "n_variants")
 
 
 @_query("quartet_rank", "WITH taxa AS (SELECT CAST(range AS BIGINT) AS gid, CAST(range AS VARCHAR) AS taxon FROM range(20)), " + _quartets(20) + " SELECT ga AS a, gb AS b, gc AS c, gd AS d, quartet_idx FROM q")
@@ -282,7 +278,8 @@ def _qed_sql(final: str, pairs: str = "x.grp < y.grp") -> str:
 
 @_query("qed_pairs", _qed_sql(_SCORED))
 def qed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir)[2].drop("qi")
+    ens = derived.ensemble(spark, sf_dir, "partial")
+    return qed.quartet_qed(ens, _first(ens)).drop("qi").withColumn("qed", F.round("qed", 6))
 
 
 @_query("qed_custom_pairs", _qed_sql(_SCORED, "((x.grp = 'R' AND y.grp = 'A') OR (x.grp = 'N' AND y.grp = 'N'))"))
@@ -293,13 +290,13 @@ def qed_custom_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("qed_mean", _qed_sql(" SELECT round(avg(s), 6) AS mean_qed FROM scored"))
 def qed_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     ens = derived.ensemble(spark, sf_dir, "partial")
-    return qed.mean_qed(qed.qed(quartet_topology(ens, _first(ens)), ens.groups)).select(F.round("mean_qed", 6).alias("mean_qed"))
+    return qed.mean_qed(qed.quartet_qed(ens, _first(ens))).select(F.round("mean_qed", 6).alias("mean_qed"))
 
 
 @_query("topology_wide", _ladder_sql("SELECT quartet_idx, a, b, c, d, " + ", ".join(f"CAST(sum(CASE WHEN grp = '{g}' AND k = {k} THEN n END) AS INTEGER) AS \"{g}_t{k}\"" for g in "ANR" for k in range(4)) + " FROM full_grid GROUP BY 1, 2, 3, 4, 5", True))
 def topology_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ens, t, _ = _scores(spark, sf_dir)
-    return frames.topology_frame(t, ens.groups, "wide")
+    ens = derived.ensemble(spark, sf_dir, "partial")
+    return topology_wide_rows(ens, _first(ens))
 
 
 @_query("qed_wide", _qed_sql(" SELECT quartet_idx, a, b, c, d, " + ", ".join(f"max(CASE WHEN group_a = '{x}' AND group_b = '{y}' THEN round(s, 6) END) AS \"{x}_vs_{y}\"" for x, y in ("AN", "AR", "NR")) + " FROM scored GROUP BY 1, 2, 3, 4, 5"))
