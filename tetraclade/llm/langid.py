@@ -45,6 +45,8 @@ from .textops import chunks, filter_text, flat, map_text
 BLOCK = 1024
 #: Cells (blocks times languages) whose states are held at once.
 GROUP = 16_384
+#: Bytes up to which transitions are one table with a place for every symbol, which is faster to look up than displaced rows.
+DENSE_BYTES = 128 << 20
 DOCS_PER_LANGUAGE = 64
 CHARS_PER_DOC = 2000
 REFERENCE_SYMBOLS = 50_000
@@ -136,6 +138,13 @@ class Model:
             states, cells = start + 1, cells + size
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         self.base, self.owner, self.target, self.again = join(base), join(owner), join(target), again
+        self.table = None
+        if states * self.width * 4 <= DENSE_BYTES:
+            language = np.repeat(np.arange(langs), np.diff([0, *[x + 1 for x in self.start]]))
+            self.table = again[language]
+            place = np.flatnonzero(self.owner >= 0)
+            self.table[self.owner[place], place - self.base[self.owner[place]]] = self.target[place]
+            self.table = self.table.ravel()
 
     def symbols(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of the rows and their new offsets."""
@@ -150,6 +159,13 @@ class Model:
         keep[first] = ~gap[first]  # no leading gap
         return c[keep], np.concatenate([[0], np.cumsum(keep)])[chars]
 
+    def _next(self, state: np.ndarray, symbol: np.ndarray, lane: np.ndarray | slice) -> np.ndarray:
+        """States after the symbols, marked where a phrase begins; ``lane``: the languages."""
+        if self.table is not None:
+            return np.take(self.table, state * np.int32(self.width) + symbol)
+        at = self.base[state] + symbol
+        return np.where(self.owner[at] == state, self.target[at], self.again[lane, symbol])
+
     def phrases(self, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases of each row (second axis) against each language."""
         n = np.diff(offsets)
@@ -185,8 +201,7 @@ class Model:
         for i in range(int(length[0])):
             a = int(active[i])
             s = padded[first[:a] + i]
-            at = self.base[now[:, :a]] + s
-            v = np.where(self.owner[at] == now[:, :a], self.target[at], self.again[:, s])
+            v = self._next(now[:, :a], s, slice(None))
             misses[:, :a] += v < 0
             np.bitwise_and(v, 0x7FFFFFFF, out=now[:, :a])
             states[i, :, :a], so_far[i, :, :a] = now[:, :a], misses[:, :a]
@@ -204,8 +219,7 @@ class Model:
             i = 0
             while len(live):
                 s = padded[start[block[live]] + i]
-                at = self.base[now[live]] + s
-                v = np.where(self.owner[at] == now[live], self.target[at], self.again[lane[live], s])
+                v = self._next(now[live], s, lane[live])
                 n[live] -= v >> 31
                 now[live] = v & 0x7FFFFFFF
                 met = now[live] == states[i, lane[live], at_row[live]]
