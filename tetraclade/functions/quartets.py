@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,6 +85,36 @@ def unrank(index: int) -> Quartet:
     return tuple(out[::-1])
 
 
+def unrank_array(index: np.ndarray) -> np.ndarray:
+    """The quartets of ranks below 2**63, by binary search in the tables of binomials."""
+    rest = np.asarray(index, np.int64).copy()
+    if len(rest) and int(rest.min()) < 0:
+        raise ValueError("a rank is not negative")
+    out = np.empty((len(rest), 4), np.int64)
+    for k in (4, 3, 2):
+        top = unrank(int(rest.max()))[3] + 2 if k == 4 and len(rest) else int(out[:, 3].max(initial=0)) + 1
+        table = _binomials(k, top)
+        out[:, k - 1] = np.searchsorted(table, rest, "right") - 1
+        rest -= table[out[:, k - 1]]
+    out[:, 0] = rest
+    return out
+
+
+_tables: dict[int, np.ndarray] = {}
+
+
+def _binomials(k: int, n: int) -> np.ndarray:
+    """x over k for x < n, as far as they fit 63 bits."""
+    have = _tables.get(k)
+    if have is None or len(have) < n:
+        out, x = [], 0
+        while x < max(n, 1024) and (v := math.comb(x, k)) < 1 << 63:
+            out.append(v)
+            x += 1
+        have = _tables[k] = np.array(out, np.int64)
+    return have
+
+
 def rank_column(a: Column, b: Column, c: Column, d: Column, wide: bool = False) -> Column:
     """Rank of ascending id columns as one expression; wide: DECIMAL(38,0)."""
     kind = "decimal(38,0)" if wide else "bigint"
@@ -105,8 +136,14 @@ def unrank_table(df: DataFrame, index: str = "quartet_idx") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            q = [unrank(int(x)) if x is not None else (None,) * 4 for x in b.column(index).to_pylist()] if b.num_rows else []
-            columns = [pa.array([r[k] for r in q], pa.int32()) for k in range(4)]
+            ids = b.column(index)
+            null = ids.is_null().to_numpy(zero_copy_only=False)
+            wide = pa.types.is_decimal(ids.type) and (top := pa.compute.max(ids).as_py()) is not None and top >= 1 << 63
+            if wide:
+                q = np.array([unrank(int(x)) if x is not None else (0,) * 4 for x in ids.to_pylist()], np.int64).reshape(-1, 4)
+            else:
+                q = unrank_array(pa.compute.fill_null(ids.cast(pa.int64()), 0).to_numpy(zero_copy_only=False))
+            columns = [pa.array(q[:, k].astype(np.int32), mask=null) for k in range(4)]
             yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=schema.names)
 
     return df.mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,9 @@ if TYPE_CHECKING:
     from .ensemble import Ensemble
 
 
+logger = logging.getLogger("tetraclade")
+
+
 def _presence(ens: Ensemble) -> DataFrame:
     return ens.trees.select("tree_id", "group", F.explode(F.array_distinct("names")).alias("name"))
 
@@ -72,3 +76,15 @@ def warnings(ens: Ensemble) -> list[str]:
     if s["m"]:
         out.append(f"{s['m']} trees had multifurcations, which were resolved")
     return out
+
+
+def log_statistics(ens: Ensemble) -> None:
+    """Groups, taxa, coverage and polytomies as messages of the library's logger, and what :func:`warnings` tells."""
+    t = taxa_per_tree(ens).first()
+    logger.info("%d trees in %d groups hold %d taxa, %.2f a tree; a taxon is in %.2f trees", t["n_trees"], ens.n_groups, t["n_taxa"], t["mean_taxa_per_tree"] or 0, t["mean_trees_per_taxon"] or 0)
+    for r in group_coverage(ens).orderBy("group").collect():
+        logger.info("group %s: %d trees, %d taxa, coverage %.3f on average and %.3f at least", r["group"], r["n_trees"], r["n_taxa"], r["mean_coverage"], r["min_coverage"])
+    for r in polytomy_stats(ens).where("n_poly_nodes > 0").orderBy("group").collect():
+        logger.info("group %s: %d of %d trees have inserted nodes, %d in all", r["group"], r["n_with_polytomy"], r["n_trees"], r["n_poly_nodes"])
+    for text in warnings(ens):
+        logger.warning(text)

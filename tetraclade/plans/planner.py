@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import logging
+import warnings
 from collections.abc import Iterator
 
 STRATEGIES = ("auto", "broadcast", "blocks", "relational")
@@ -49,3 +50,24 @@ def quiet(level: int = logging.ERROR, name: str = "tetraclade") -> Iterator[None
         yield
     finally:
         logger.setLevel(before)
+
+
+def current_strategy() -> str:
+    """What ``auto`` means now."""
+    return forced() or "auto"
+
+
+@contextlib.contextmanager
+def suppress_logger(name: str = "tetraclade", level: int = logging.ERROR) -> Iterator[logging.Logger]:
+    """:func:`quiet` that hands out the logger."""
+    with quiet(level, name):
+        yield logging.getLogger(name)
+
+
+@contextlib.contextmanager
+def suppress_warnings(*categories: type[Warning]) -> Iterator[None]:
+    """Ignore Python warnings of the categories (all, if none is given) inside the block."""
+    with warnings.catch_warnings():
+        for c in categories or (Warning,):
+            warnings.simplefilter("ignore", c)
+        yield

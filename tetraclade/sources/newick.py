@@ -150,10 +150,10 @@ class Tree:
             return top, 0.0
         return top, sum(self.distance(a, b) for a, b in zip(ids, ids[1:] + ids[:1])) / 2
 
-    def split(self, a: int | str, b: int | str, c: int | str, d: int | str) -> tuple[int, int, int, int]:
+    def split(self, a: int | str, b: int | str, c: int | str, d: int | str, return_steiner: bool = False) -> tuple:
         """(p0, p1, q0, q1) of the pairing p0 p1 | q0 q1; equal scores give the first with the last.
 
-        :meth:`multi_lca` of the four nodes has the length of their subtree.
+        With ``return_steiner`` that and the length of the four nodes' subtree.
         """
         w, x, y, z = sorted(self.node(v) for v in (a, b, c, d))
         if len({w, x, y, z}) < 4:
@@ -162,12 +162,12 @@ class Tree:
         first = r[self.lca(w, x)] + r[self.lca(y, z)]
         second = r[self.lca(w, y)] + r[self.lca(x, z)]
         third = r[self.lca(w, z)] + r[self.lca(x, y)]
+        out = (w, z, x, y)
         if first > max(second, third):
-            return w, x, y, z
-        if second > max(first, third):
-            return w, y, x, z
-        return w, z, x, y
-
+            out = (w, x, y, z)
+        elif second > max(first, third):
+            out = (w, y, x, z)
+        return (out, self.multi_lca([w, x, y, z])[1]) if return_steiner else out
 
     def split_index(self, a: int | str, b: int | str, c: int | str, d: int | str) -> int:
         """0, 1 or 2: which of the other nodes, in ascending order, pairs with the least."""

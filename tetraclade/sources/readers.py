@@ -12,7 +12,7 @@ from collections.abc import Iterable, Mapping
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..ship import ship
@@ -169,9 +169,10 @@ def tree_table(spark: SparkSession, data: object) -> DataFrame:
 def read_trees(spark: SparkSession, path: str, group: Column | None = None) -> DataFrame:
     """``(tree_id, group, source, line_no, newick)`` of all files under a path, read by executors.
 
-    Files may be compressed, whatever their names. The group is the file's name by
-    default. ``tree_id`` packs a hash of the file's path and the line number, so it
-    doesn't depend on partitioning.
+    Files may be compressed, whatever their names, and are read whole, one a task; see
+    :func:`read_lines` for large plain ones. The group is the file's name by default.
+    ``tree_id`` is the file's place among the paths in order, shifted by 32 bits, plus
+    the line number, so it is unique and doesn't depend on partitioning.
     """
     ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
@@ -184,6 +185,22 @@ def read_trees(spark: SparkSession, path: str, group: Column | None = None) -> D
                 yield pd.DataFrame({"source": source, "line_no": [i for i, _ in kept], "newick": [x for _, x in kept]})
 
     rows = files.mapInPandas(lines, "source string, line_no int, newick string")
-    key = F.shiftleft(F.xxhash64("source").bitwiseAND(F.lit((1 << 31) - 1)), 32) + F.col("line_no")
+    # paths only: their order is one small sort
+    order = files.select(F.col("path").alias("source")).distinct().withColumn("file_no", F.row_number().over(Window.orderBy("source")) - 1)
+    rows = rows.join(order, "source")
+    key = F.shiftleft(F.col("file_no").cast("bigint"), 32) + F.col("line_no")
     name = F.element_at(F.split("source", "/"), -1)
     return rows.select(key.alias("tree_id"), (group if group is not None else name).alias("group"), "source", "line_no", "newick")
+
+
+def read_lines(spark: SparkSession, path: str, group: Column | None = None) -> DataFrame:
+    """``(tree_id, group, source, newick)`` of plain text files with a tree a line, which are split over tasks.
+
+    Blank lines and lines that start with ``#`` are left out. ``tree_id`` is unique; it
+    numbers the lines of each split, so it depends on how files are split.
+    """
+    t = F.trim(F.col("value"))
+    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("tree_id"), F.col("_metadata.file_path").alias("source"), t.alias("newick"))
+    rows = rows.where((F.col("newick") != "") & ~F.col("newick").startswith("#"))
+    name = F.element_at(F.split("source", "/"), -1)
+    return rows.select("tree_id", (group if group is not None else name).alias("group"), "source", "newick")

@@ -21,6 +21,19 @@ from ..ship import ship
 from ..sources import newick
 
 
+#: Trees and quartets that go through the kernel together.
+TREES, BATCH = 64, 2048
+
+
+def _pack(text: str, number: dict[str, int], strategy: str, missing_length: float) -> kernel.Packed:
+    t = newick.parse(text, strategy, missing_length)
+    slots = np.full(len(number), -1, np.int32)
+    for leaf, name in enumerate(t.names):
+        if name in number:
+            slots[number[name]] = leaf
+    return kernel.Packed(slots, t.gap, t.depth, t.poly, t.rd, [(1, t.rd)])
+
+
 def tree_topologies(trees: DataFrame, quartets: Quartets, keep: Sequence[str] = ("group",), strategy: str = "multifurcation", missing_length: float = 1.0) -> DataFrame:
     """``keep`` and ``(qi, topology, steiner)``: one row for each tree and quartet it holds; narrow, stream or batch."""
     ship(trees.sparkSession)
@@ -32,19 +45,17 @@ def tree_topologies(trees: DataFrame, quartets: Quartets, keep: Sequence[str] =
         qi = np.arange(quartets.count)
         q = quartets.at(qi + quartets.offset)
         for batch in batches:
-            for row, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                t = newick.parse(text, strategy, missing_length)
-                slots = np.full(len(number), -1, np.int32)
-                for leaf, name in enumerate(t.names):
-                    if name in number:
-                        slots[number[name]] = leaf
-                packed = kernel.Packed(slots, t.gap, t.depth, t.poly, t.rd, [(1, t.rd)])
-                counts, total, *_ = kernel.count([(0, packed)], q, 1, True)
-                at, _, k = np.nonzero(counts)
-                same = pa.array(np.full(len(at), row))
-                yield pa.RecordBatch.from_arrays(
-                    [*[c.take(same) for c in batch.columns[:-1]], pa.array(qi[at]), pa.array(k.astype(np.int32)), pa.array(total[at, 0, k])], names=schema.names
-                )
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            for first in range(0, len(texts), TREES):
+                packed = [(k, _pack(text, number, strategy, missing_length)) for k, text in enumerate(texts[first : first + TREES])]
+                for start in range(0, len(q), BATCH):
+                    # a group for each tree, so that cells are trees
+                    counts, total, *_ = kernel.count(packed, q[start : start + BATCH], len(packed), True)
+                    at, row, k = np.nonzero(counts)
+                    same = pa.array(row + first)
+                    yield pa.RecordBatch.from_arrays(
+                        [*[c.take(same) for c in batch.columns[:-1]], pa.array(qi[at + start]), pa.array(k.astype(np.int32)), pa.array(total[at, row, k])], names=schema.names
+                    )
 
     return trees.select(*keep, "newick").mapInArrow(run, schema)
 
