@@ -79,7 +79,39 @@ def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = sorted(x[0] for x in r.select("taxon").distinct().collect())
     few = r.where(F.col("taxon").isin(names[:3]) | (F.col("r") <= 6)).select("tree_id", "grp", "taxon", "r")
     two = few.select("tree_id", "grp", F.explode(F.array(*[F.struct(F.concat("taxon", F.lit(f"_{i}")).alias("leaf"), (F.col("r") * 7 * (i + 1) % 31).alias("k")) for i in range(2)])).alias("x")).select("tree_id", "grp", "x.*")
-    t = two.groupBy("tree_id", F.col("grp").alias("group")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "leaf"))), lambda x: x["leaf"]).alias("x"))
+    return _ladders(two)
+
+
+#: Ladders over all customers, more taxa than pair tables are made for.
+CROWD = """
+ranks AS (
+  SELECT 'W' AS grp, rep, 'C' || lpad(CAST(c_custkey AS STRING), 7, '0') AS taxon, rep AS tree_id,
+         row_number() OVER (PARTITION BY rep ORDER BY (c_custkey * (2 * rep + 1) * 7919) % 10007, c_custkey) AS r,
+         count(*) OVER (PARTITION BY rep) AS n
+  FROM {customer} CROSS JOIN (VALUES (1), (2), (3)) v(rep)
+)"""
+
+
+def crowd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(tree_id, group, newick)`` of the ladders over customers."""
+    r = spark.sql("WITH " + CROWD + " SELECT * FROM ranks", customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    return _ladders(r.select("tree_id", "grp", F.col("r").alias("k"), F.col("taxon").alias("leaf")))
+
+
+def supported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-level trees whose regions have supports, from the first replicate of each group."""
+    s = _sql(spark, sf_dir, "WITH " + STAR + " SELECT * FROM star WHERE rep = 1")
+    leaf = F.transform(F.array_sort(F.collect_list(F.struct("nk", "taxon"))), lambda x: F.concat(x["taxon"], F.lit(":0.5")))
+    inner = s.groupBy("tree_id", "grp", "rk", "len").agg(leaf.alias("x"))
+    region = F.concat(F.lit("("), F.array_join("x", ","), F.lit(")0."), (F.col("rk") + 1).cast("string"), F.lit(":"), F.col("len").cast("string"))
+    outer = inner.select("tree_id", "grp", F.struct("rk", region.alias("t")).alias("p")).groupBy("tree_id", F.col("grp").alias("group")).agg(F.array_sort(F.collect_list("p")).alias("p"))
+    # a comment and blanks don't matter
+    return outer.select(F.col("tree_id").cast("bigint"), "group", F.concat(F.lit(" [made] ("), F.array_join(F.transform("p", lambda x: x["t"]), " , "), F.lit(");")).alias("newick"))
+
+
+def _ladders(rows: DataFrame) -> DataFrame:
+    """Caterpillars of rows (tree_id, grp, k, leaf) in order of (k, leaf), unit lengths, from four leaves on."""
+    t = rows.groupBy("tree_id", F.col("grp").alias("group")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "leaf"))), lambda x: x["leaf"]).alias("x"))
     n = F.size("x")
     text = F.concat(
         F.lit("("), F.array_join(F.transform(F.slice("x", 1, n - 1), lambda v: F.concat(v, F.lit(":1"))), ",("),
@@ -89,9 +121,12 @@ def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ensemble(spark: SparkSession, sf_dir: str, kind: str = "ladder") -> Ensemble:
-    """A derived ensemble: ladder, partial, star or zero (star with zero-length regions)."""
+    """A derived ensemble: ladder, partial, star, zero or both (star with zero-length regions), crowd or supported."""
     if kind in ("ladder", "partial"):
         return Ensemble(spark, ladder(spark, sf_dir, kind == "partial"), checked=False)
-    if kind in ("star", "zero"):
-        return Ensemble(spark, star(spark, sf_dir, kind == "zero"), polytomy_strategy="zero-length-branch" if kind == "zero" else "multifurcation", checked=False)
+    if kind in ("star", "zero", "both"):
+        strategy = {"star": "multifurcation", "zero": "zero-length-branch", "both": "both"}[kind]
+        return Ensemble(spark, star(spark, sf_dir, kind != "star"), polytomy_strategy=strategy, checked=False)
+    if kind in ("crowd", "supported"):
+        return Ensemble(spark, (crowd if kind == "crowd" else supported)(spark, sf_dir), checked=False)
     raise ValueError(f"unknown ensemble {kind!r}")

@@ -129,6 +129,52 @@ _query("steiner_bl_variants", _star_sql(_STEINER))(_counts("star", steiner=True)
 _query("quartet_steiner_blocks", _star_sql(_STEINER))(_counts("star", "blocks", steiner=True))
 
 
+_query("quartet_counts_both", _star_sql(_COUNTS, True))(_counts("both"))
+_CROWD = derived.CROWD.replace("{customer}", "customer").replace("STRING", "VARCHAR")
+_CROWD_SQL = _with(_CROWD, _taxa("ranks"), _quartets(), _LADDER_PAIRS, _COUNTED.replace("GROUPS_OF", "ranks"))
+_query("quartet_counts_crowd", _CROWD_SQL + _COUNTS)(_counts("crowd"))
+_query("quartet_steiner_crowd", _CROWD_SQL + _STEINER)(_counts("crowd", steiner=True))
+_MEAN = 'SELECT quartet_idx, grp AS "group", k AS topology, round(CAST(ss AS DOUBLE) / greatest(n, 1), 6) AS steiner_mean FROM full_grid'
+
+
+@_query("quartet_steiner_mean", _ladder_sql(_MEAN, True))
+def quartet_steiner_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ens = derived.ensemble(spark, sf_dir, "partial")
+    return frames.mean_steiner(quartet_topology(ens, _first(ens), True)).select("quartet_idx", "group", "topology", F.round("steiner_mean", 6).alias("steiner_mean"))
+
+
+@_query("newick_supports", _with(_STAR) + """, pos AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY rk, nk) - 1 AS p FROM star WHERE rep = 1)
+SELECT CAST(tree_id AS BIGINT) AS tree_id, CAST(min(p) AS INTEGER) AS leaf_lo, CAST(max(p) AS INTEGER) AS leaf_hi, CAST(max(len) AS DOUBLE) AS length, (rk + 1) / 10.0::DOUBLE AS support, CAST(max(len) AS DOUBLE) AS root_distance FROM pos GROUP BY tree_id, rk""")
+def newick_supports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = trees.nodes(derived.ensemble(spark, sf_dir, "supported").trees).where("support is not null")
+    return n.select("tree_id", "leaf_lo", "leaf_hi", "length", "support", "root_distance")
+
+
+@_query("multifurcation_flags", _with(_STAR) + """, m AS (SELECT tree_id, max(c) AS most, count(*) AS regions FROM (SELECT tree_id, rk, count(*) AS c FROM star GROUP BY 1, 2) GROUP BY 1)
+SELECT CAST(tree_id AS BIGINT) AS tree_id, most > 2 OR regions > 2 AS in_text, most > 2 OR regions > 2 AS in_tree FROM m""")
+def multifurcation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = derived.star(spark, sf_dir).select("tree_id", text.has_multifurcations(F.col("newick")).alias("in_text"))
+    parsed = derived.ensemble(spark, sf_dir, "star").trees.select("tree_id", F.col("had_multifurcations").alias("in_tree"))
+    return parsed.join(source.withColumn("tree_id", F.col("tree_id").cast("bigint")), "tree_id").select("tree_id", "in_text", "in_tree")
+
+
+@_query("topology_numbers", """WITH p AS (SELECT w.n_nationkey AS a, x.n_nationkey AS b, y.n_nationkey AS c, z.n_nationkey AS d FROM nation w, nation x, nation y, nation z
+  WHERE greatest(a, b, c, d) < 6 AND a <> b AND a <> c AND a <> d AND b <> c AND b <> d AND c <> d),
+s AS (SELECT *, least(a, b, c, d) AS lo, CASE least(a, b, c, d) WHEN a THEN b WHEN b THEN a WHEN c THEN d ELSE c END AS partner, (a IN (c, d, 5))::INT + (b IN (c, d, 5))::INT AS shared FROM p)
+SELECT a, b, c, d, CAST((a < partner AND a <> lo)::INT + (b < partner AND b <> lo)::INT + (c < partner AND c <> lo)::INT + (d < partner AND d <> lo)::INT AS INTEGER) AS topology,
+  TRUE AS valid, round(shared / (4 + (c <> 5 AND d <> 5)::INT - shared), 6) AS jaccard FROM s""")
+def topology_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey < 6").select("n_nationkey")
+    df = n.withColumnRenamed("n_nationkey", "a")
+    for x in "bcd":
+        df = df.crossJoin(n.withColumnRenamed("n_nationkey", x))
+    q = F.array(*"abcd")
+    five = F.lit(5).cast("int")
+    df = df.where(fq.valid_quartet(q))
+    sets = F.array("a", "b"), F.array("c", "d", five)
+    return df.select(*"abcd", fq.topology_index_column(*[F.col(x) for x in "abcd"]).alias("topology"), fq.valid_quartet(q).alias("valid"), F.round(fq.jaccard(*sets), 6).alias("jaccard"))
+
+
 @_query("newick_tree_stats", _with(_LADDER) + 'SELECT DISTINCT CAST(tree_id AS BIGINT) AS tree_id, grp AS "group", CAST(n AS INTEGER) AS n_leaves, CAST(2 * n - 1 AS INTEGER) AS n_nodes, CAST(n - 1 AS INTEGER) AS max_depth, 0 AS n_poly, 0 AS n_zero_length, CAST(2 * n - 2 AS DOUBLE) AS total_length FROM ranks')
 def newick_tree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.tree_stats(derived.ensemble(spark, sf_dir).trees)
@@ -319,7 +365,37 @@ def _mul(spark: SparkSession, sf_dir: str) -> tuple[Ensemble, fq.Quartets]:
     return ens, ens.quartets(None, 0, 300)
 
 
-@_query("paralog_slots")
+_MUL = """nm AS (SELECT taxon, row_number() OVER (ORDER BY taxon) AS p FROM (SELECT DISTINCT taxon FROM ranks)),
+few AS (SELECT tree_id, grp, ranks.taxon, r, p FROM ranks JOIN nm ON nm.taxon = ranks.taxon WHERE p <= 3 OR r <= 6),
+two AS (SELECT tree_id, grp, taxon, p, taxon || '_' || i AS leaf, (r * 7 * (i + 1)) % 31 AS k FROM few CROSS JOIN (VALUES (0), (1)) v(i)),
+pos AS (SELECT *, CASE WHEN p <= 2 THEN taxon ELSE leaf END AS label, row_number() OVER (PARTITION BY tree_id ORDER BY k, leaf) - 1 AS leaf_id FROM two),
+shape AS (SELECT tree_id, grp, string_agg(label, ',' ORDER BY leaf_id) AS names FROM pos GROUP BY 1, 2),
+one AS (SELECT min(tree_id) AS tree_id FROM shape GROUP BY grp, names),
+slot AS (SELECT tree_id, taxon AS genome, leaf_id, row_number() OVER (PARTITION BY tree_id, taxon ORDER BY leaf_id) - 1 AS copy FROM pos WHERE p <= 2)"""
+
+
+@_query("paralog_namespace", _with(_LADDER, _MUL) + """, names AS (SELECT DISTINCT label AS genome, p <= 2 AS many FROM pos), copies AS (SELECT DISTINCT genome, copy FROM slot)
+SELECT CAST(row_number() OVER (ORDER BY many, names.genome, coalesce(copy, 0)) - 1 AS INTEGER) AS gid, CASE WHEN many THEN names.genome || '_copy' || copy ELSE names.genome END AS name, names.genome, CAST(coalesce(copy, 0) AS INTEGER) AS copy
+FROM names LEFT JOIN copies ON copies.genome = names.genome""")
+def paralog_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mul(spark, sf_dir)[0].taxa_table()
+
+
+@_query("paralog_quartets", _with(_LADDER, _MUL) + """, copies AS (SELECT DISTINCT genome, copy FROM slot), g AS (SELECT *, row_number() OVER (ORDER BY genome, copy) - 1 AS s FROM copies),
+m AS (SELECT count(DISTINCT label) AS singles FROM pos WHERE p > 2), ids AS (SELECT genome, s + singles AS gid FROM g CROSS JOIN m), total AS (SELECT max(gid) + 1 AS n FROM ids),
+w AS (SELECT n - 8 + a.range AS a, n - 8 + b.range AS b, n - 8 + c.range AS c, n - 8 + d.range AS d, row_number() OVER (ORDER BY a.range, b.range, c.range, d.range) - 1 AS qi
+  FROM total, range(8) a, range(8) b, range(8) c, range(8) d WHERE a.range < b.range AND b.range < c.range AND c.range < d.range)
+SELECT DISTINCT genome, CAST(qi AS BIGINT) AS qi FROM w JOIN ids ON gid IN (a, b, c, d)""")
+def paralog_quartets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ens, _ = _mul(spark, sf_dir)
+    n = len(ens.taxa)
+    q = list(itertools.combinations(range(n - 8, n), 4))
+    return paralog.quartet_index(ens, ens.quartets(q, 0, len(q)))
+
+
+@_query("paralog_slots", _with(_LADDER, _MUL) + """, grid AS (SELECT DISTINCT slot.genome, slot.copy, one.tree_id FROM slot CROSS JOIN one)
+SELECT grid.genome, CAST(grid.copy AS INTEGER) AS copy, CAST(grid.tree_id AS BIGINT) AS tree_id, CAST(leaf_id AS INTEGER) AS leaf_id
+FROM grid LEFT JOIN slot ON slot.tree_id = grid.tree_id AND slot.genome = grid.genome AND slot.copy = grid.copy""")
 def paralog_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paralog.assignments(_mul(spark, sf_dir)[0])
 
