@@ -23,7 +23,7 @@ are compared by their heads, two rows a partition, in the driver.
 
 Defined cases: null and empty texts have fingerprint 0 and no characters, and share
 the empty head. Null identifiers come first. Equal rows get equal results. A very long
-text is hashed whole, with some 60 bytes a character held. An empty table gives an
+text is hashed whole, with some 90 bytes a character held. An empty table gives an
 empty table. Columns besides identifier and text are not read.
 """
 

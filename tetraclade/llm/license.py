@@ -23,7 +23,7 @@ are compared with what stayed.
 Defined cases: null and empty texts and texts shorter than GRAM words match
 nothing; a document without matches has no rows; a row that is repeated has its
 matches repeated; null identifiers are carried. A very long text is scanned whole, with
-some 100 bytes a word held. An empty table gives an empty table.
+some 260 bytes a word held. An empty table gives an empty table.
 The templates are a fixed list, so what is sent to executors doesn't grow.
 """
 

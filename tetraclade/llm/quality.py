@@ -11,7 +11,7 @@ Rules: a document goes if one of its fractions exceeds the limit in ``LIMITS``.
 
 Defined cases: null, empty and white-space-only texts have no words, fractions of
 0.0 and are rejected as ``empty``; documents with fewer than n words have no
-n-grams; a very long text is measured whole, with some 150 bytes a word held; equal
+n-grams; a very long text is measured whole, with some 300 bytes a word held (six letters each); equal
 rows get equal results; an empty table gives an empty table; an identifier named like
 a result gets underscores behind its name; columns besides the identifier and the text are ignored by :func:`quality` and
 carried unchanged by :func:`quality_filter`.

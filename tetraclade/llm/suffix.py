@@ -28,7 +28,7 @@ reported, the first occurrence never is. The steps, all sharded:
 
 Defined cases: null, empty and shorter texts have no passages; equal rows (same
 identifier and text) are one document and none of them is reported for the other;
-a null identifier counts as the least. A very long text is held with some 100 bytes a
+a null identifier counts as the least. A very long text is held with some 260 bytes a
 word. An empty table gives an empty table.
 Columns besides identifier and text are not read by :func:`repeated_spans`, and are
 carried by :func:`drop_repeats`.

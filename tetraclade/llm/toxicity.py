@@ -13,7 +13,7 @@ whole text.
 
 Defined cases: a null or empty text has no features and gets the score of the
 intercept. Labels that are null or whose document is missing are not used; without
-any label all scores are 0.0. A very long text is scored whole, with some 150 bytes a
+any label all scores are 0.0. A very long text is scored whole, with some 260 bytes a
 word held. Repeated rows are scored alike. An empty table gives an empty table. Other
 columns are not read; an identifier named like a result gets underscores behind its
 name.
