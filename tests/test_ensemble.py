@@ -90,6 +90,26 @@ def test_many_taxa_use_the_sparse_table(spark, monkeypatch):
             assert cube[0][i, 0, k] == len(s) and cube[1][i, 0, k] == pytest.approx(sum(s))
 
 
+@pytest.mark.parametrize("strategy", ["auto", "blocks", "relational"])
+@pytest.mark.parametrize("polytomies", ["multifurcation", "both"])
+def test_first_names_count_as_in_whole_trees(spark, strategy, polytomies):
+    # one topology under several lengths, so that the first tree's decide for all
+    again = [x.replace(":0.5", ":0.75") for x in GROUPS["g1"]]
+    data = GROUPS | {"g1": GROUPS["g1"] + again + again[:2], "few": ["(g:1,h:1);"]}
+    whole = Ensemble(spark, data, polytomy_strategy=polytomies)
+    part = whole.first(6)
+    q = scalar.combos(6)
+    rows = [sorted(map(repr, e.quartet_topology(e.quartets(q, count=len(q)), strategy=strategy).collect())) for e in (whole, part)]
+    assert part.taxa == whole.taxa[:6] and part.groups == whole.groups and rows[0] == rows[1]
+    assert part.trees.where("size(names) > 6").count() == 0 and "parent" not in part.trees.columns
+    assert whole.first(100).taxa == whole.taxa and part.first(8).taxa == part.taxa
+
+
+def test_first_names_need_single_copies(spark):
+    with pytest.raises(ValueError):
+        Ensemble(spark, GROUPS, taxon_map={"a": "x", "b": "x"}).first(4)
+
+
 def test_pair_sums_are_least_for_the_winner(ens, window):
     d = {(r["tree_id"], r["i"], r["j"]): r["distance"] for r in trees.distances(ens).collect()}
     group = {r["tree_id"]: (r["group"], r["multiplicity"]) for r in ens.stored.collect()}

@@ -186,3 +186,18 @@ def test_session_controls(spark, trees, caplog):
         tetraclade.log_statistics(Ensemble(spark, trees))
     assert "36 trees in 3 groups" in caplog.text and "group y: 12 trees" in caplog.text
     assert all(hasattr(tetraclade, name) for name in tetraclade.__all__)
+
+
+@pytest.mark.parametrize("name", ["quartet_counts_crowd"])
+def test_crowds_keep_ten_names(spark, sf_dir, monkeypatch, name):
+    from tetraclade.functions import quartets
+    from tetraclade.plans import queries
+
+    monkeypatch.setattr(quartets, "WIDE_FROM", 100)  # as with 86,000 customers
+    seen = []
+    whole = queries.quartet_topology
+    monkeypatch.setattr(queries, "quartet_topology", lambda ens, *x: seen.append(ens) or whole(ens, *x))
+    df = queries.QUERIES[name](spark, sf_dir)
+    assert dict(df.dtypes)["quartet_idx"] == "bigint" and df.count() == 840
+    assert len(seen[0].taxa) == 10 and seen[0].trees.where("size(names) > 10").count() == 0
+    assert seen[0].trees.where("n_leaves > 100").count() == 3

@@ -78,6 +78,43 @@ def test_deep_trees_need_no_recursion():
     assert t.n_leaves == 5000 and t.depth.max() == 4999
 
 
+@pytest.mark.parametrize("strategy", newick.STRATEGIES)
+@pytest.mark.parametrize("keep", [1, 3, 50])
+def test_parts_are_parts_of_whole_trees(monkeypatch, strategy, keep):
+    monkeypatch.setattr(newick, "_CHUNK", 4)
+    for text in [*generators.ensemble(12, [f"t{i}" for i in range(30)], 8), "a;", "((b,b)0.5:0,a,(c:2,'d''e')[x]:0):3;"]:
+        whole, part = newick.parse(text, strategy, -1.0), newick.parse_part(text, keep, strategy, -1.0)
+        at = sorted(whole.names.index(x) for x in sorted(set(whole.names))[:keep])
+        nodes = at + [whole.lca(u, v) for u, v in zip(at, at[1:])]
+        assert part.names == [whole.names[v] for v in at] and part.n_leaves == whole.n_leaves
+        assert part.gap == list(range(len(at), len(nodes)))
+        for x in ("rd", "depth", "poly"):
+            assert getattr(part, x) == getattr(whole, x)[nodes].tolist()
+        assert (part.topology_key, part.length_key) == (whole.topology_key(), whole.length_key())
+
+
+@pytest.mark.parametrize("bad", ["", "(a,b", "a,b);", "((a),b);", "((a,b)label,c);", "(a:x,b);", "(a,b),(c,d);", "(:2,a);"])
+def test_parts_of_malformed_trees(bad):
+    with pytest.raises(ValueError):
+        newick.parse_part(bad, 2)
+
+
+def test_memory_of_a_part_is_that_of_flat_arrays(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(newick, "_CHUNK", 256)
+    names = [f"t{i:05}" for i in range(20_000)]
+    text = "(" + ",(".join(f"{x}:1" for x in names[:-1]) + f",{names[-1]}:1" + "):1" * (len(names) - 2) + ");"
+    tracemalloc.start()
+    try:
+        part = newick.parse_part(text, 10)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert part.names == names[:10] and part.rd[:10] == [*range(1, 11)]
+    assert most < 110 * len(names)  # 634 bytes a leaf as lists and tuples
+
+
 def test_keys_tell_topologies_and_lengths_apart():
     a, b, c, d = (newick.parse(x) for x in ("((a:1,b:2):1,c:1);", "((a:9,b:2)0.5:1,c:1);", "((a:1,c:2):1,b:1);", "((a:1,b:2)0.7:1,c:1);"))
     assert a.topology_key() == b.topology_key() != c.topology_key()

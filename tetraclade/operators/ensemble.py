@@ -69,6 +69,29 @@ def parse_trees(df: DataFrame, taxon_map: Mapping[str, str] | None = None, strat
     return df.select(F.col("tree_id").cast("bigint"), F.col("group").cast("string"), "newick").mapInArrow(run, schema)
 
 
+def parse_parts(df: DataFrame, keep: int, strategy: str = "multifurcation", missing_length: float = 1.0) -> DataFrame:
+    """``(tree_id, group)``, the keys of each tree of ``(tree_id, group, newick)`` and the arrays of its first ``keep`` names.
+
+    See :func:`~tetraclade.sources.newick.parse_part`.
+    """
+    ship(df.sparkSession)
+    fields = [f for f in TREE_FIELDS if f.name in ("n_leaves", "names", "rd", "depth", "poly", "gap", "topo_hash", "tree_hash")]
+    schema = T.StructType([T.StructField("tree_id", T.LongType()), T.StructField("group", T.StringType()), *fields])
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        for batch in batches:
+            rows = []
+            for text in batch.column(2):
+                t = newick.parse_part(text.as_py(), keep, strategy, missing_length)
+                rows.append([t.n_leaves, t.names, t.rd, t.depth, t.poly, t.gap, t.topology_key, t.length_key])
+            columns = [pa.array([r[k] for r in rows], to_arrow_type(f.dataType)) for k, f in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), *columns], names=schema.names)
+
+    return df.select(F.col("tree_id").cast("bigint"), F.col("group").cast("string"), "newick").mapInArrow(run, schema)
+
+
 class Ensemble:
     """Trees, groups and namespace; everything derived is lazy.
 
@@ -89,7 +112,8 @@ class Ensemble:
         self.spark = spark
         source = data if isinstance(data, DataFrame) else tree_table(spark, data)
         self.taxon_map = dict(taxon_map or {})
-        self.polytomy_strategy = polytomy_strategy
+        self.polytomy_strategy, self.missing_length = polytomy_strategy, missing_length
+        self._source, self._keep = source, None
         self.trees = parse_trees(source, taxon_map, polytomy_strategy, missing_length).persist()
         if checked and isinstance(data, DataFrame):
             again = self.trees.groupBy("tree_id").count().where("count > 1").first()
@@ -121,7 +145,7 @@ class Ensemble:
 
     @cached_property
     def _copies(self) -> list:
-        return sorted((r["label"], r["n"]) for r in self._labels if r["n"] is not None)
+        return sorted((r["label"], r["n"]) for r in self._labels if r["n"] is not None)[: self._keep]
 
     @cached_property
     def paralogs(self) -> dict[str, int]:
@@ -231,6 +255,24 @@ class Ensemble:
         """``(tree_id, gid, leaf_id)`` of the taxa present in each stored tree."""
         return self.seated.select("tree_id", F.posexplode("slots").alias("gid", "leaf_id")).where("leaf_id >= 0")
 
+    def first(self, n: int) -> Ensemble:
+        """A copy over the first ``n`` names in order, for counts, lengths and whatever else reads stored trees.
+
+        Other leaves don't get beyond the parser, so memory is that of flat arrays of one tree
+        a task. Topologies are told apart by whole trees, so counts are those of this ensemble.
+        """
+        if self.taxon_map:
+            raise ValueError("names that stand for several copies can't be left out")
+        if n < 1:
+            raise ValueError("at least one name must stay")
+        other = object.__new__(Ensemble)
+        kept = ("spark", "taxon_map", "polytomy_strategy", "missing_length", "_source")
+        other.__dict__.update({k: self.__dict__[k] for k in kept})
+        # the first names of all trees are among the first of each tree that has them
+        other._keep = n if self._keep is None else min(n, self._keep)
+        other.trees = parse_parts(self._source, other._keep, self.polytomy_strategy, self.missing_length).persist()
+        return other
+
     def with_seated(self, seated: DataFrame) -> Ensemble:
         """A copy with other stored trees."""
         other = object.__new__(Ensemble)
