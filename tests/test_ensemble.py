@@ -105,6 +105,14 @@ def test_first_names_count_as_in_whole_trees(spark, strategy, polytomies):
     assert whole.first(100).taxa == whole.taxa and part.first(8).taxa == part.taxa
 
 
+def test_lengths_over_first_names_are_those_of_whole_trees(spark):
+    again = [x.replace(":0.5", ":0.75") for x in GROUPS["g1"]]
+    whole = Ensemble(spark, GROUPS | {"g1": GROUPS["g1"] + again + again[:2]}, polytomy_strategy="both")
+    q = scalar.combos(6)
+    rows = [sorted(map(repr, e.quartet_topology(e.quartets(q, count=len(q)), True).collect())) for e in (whole, whole.first(6))]
+    assert rows[0] == rows[1]
+
+
 def test_first_names_need_single_copies(spark):
     with pytest.raises(ValueError):
         Ensemble(spark, GROUPS, taxon_map={"a": "x", "b": "x"}).first(4)

@@ -188,7 +188,7 @@ def test_session_controls(spark, trees, caplog):
     assert all(hasattr(tetraclade, name) for name in tetraclade.__all__)
 
 
-@pytest.mark.parametrize("name", ["quartet_counts_crowd"])
+@pytest.mark.parametrize("name", ["quartet_counts_crowd", "quartet_steiner_crowd"])
 def test_crowds_keep_ten_names(spark, sf_dir, monkeypatch, name):
     from tetraclade.functions import quartets
     from tetraclade.plans import queries
