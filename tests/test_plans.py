@@ -201,3 +201,17 @@ def test_crowds_keep_ten_names(spark, sf_dir, monkeypatch, name):
     assert dict(df.dtypes)["quartet_idx"] == "bigint" and df.count() == 840
     assert len(seen[0].taxa) == 10 and seen[0].trees.where("size(names) > 10").count() == 0
     assert seen[0].trees.where("n_leaves > 100").count() == 3
+
+
+def test_variances_of_crowds_are_rounded_as_in_sql(spark, sf_dir, monkeypatch):
+    from tetraclade.plans import queries
+
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(7)
+    values = [218380972656.25, 925068485396.2228, 0.0000005, 2 / 9, 0.1234565, None]
+    values += [rng.random() * 10**k for k in range(-7, 15) for _ in range(20)] + [rng.randrange(1 << k) / 9 for k in range(1, 60) for _ in range(10)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "qi int, steiner_var double").withColumn("id", F.col("qi"))
+    monkeypatch.setattr(queries, "quartet_topology", lambda *x: df)
+    got = {r["id"]: r["steiner_var"] for r in queries.QUERIES["quartet_steiner_crowd"](spark, sf_dir).collect()}
+    want = [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 6)", [x]).fetchone()[0] for x in values]
+    assert [got[i] for i in range(len(values))] == want

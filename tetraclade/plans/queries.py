@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import quartets as fq
@@ -110,13 +110,18 @@ def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def _millionths(x: Column) -> Column:
+    """Rounded to six places in floating point, as DuckDB does it: large values differ from exact rounding by a last digit."""
+    return F.round(x * 1e6) / 1e6
+
+
 def _counts(kind: str, strategy: str = "auto", steiner: bool = False) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ens = derived.ensemble(spark, sf_dir, kind)
         if kind == "crowd":  # a taxon for each customer
             ens = ens.first(TAXA)
         df = quartet_topology(ens, _first(ens), steiner, strategy).drop("qi")
-        return df.withColumn("steiner_var", F.round("steiner_var", 6)) if steiner else df
+        return df.withColumn("steiner_var", _millionths(F.col("steiner_var"))) if steiner else df
 
     return run
 
